@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import packing, repair_shards
+from pulsegrid.llm import embedding_links, packing, repair_shards, simhash_links
 from pulsegrid.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -24,7 +24,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_links.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op6_packing": op6_packing,
+    "op9_simhash": op9_simhash,
+    "op10_embedding_links": op10_embedding_links,
 }
