@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at a time, and the distinct chunks remembered from one time to the next.
 SLICE_BYTES, REMEMBERED = 6 << 20, 1_000_000
-_PLAIN = r"^ ?\p{L}+$"
+_PLAIN = r"^ \p{L}+$"
 _ENDS = r"^(?P<a> ?\p{L}+)(?P<b>[.,!?;:$%&*#|]+)$"
 _LINES = r"^(?P<a>[^\n]*[\p{L}.,!?;:$%&*#|])(?P<c>\n)(?P<d>\p{L}[^\n]*)$"
 _ODD_SPACE = r"^ | $| [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
@@ -37,9 +37,11 @@ class ChunkEncoder:
 
         self.tokenizer, self.end_id, self.lower = Tokenizer.from_file(path), end_id, lower
         self.tokenizer.encode_special_tokens = True
-        # between words stands a line break, which has an id of its own; where white space is dropped, a sign that no word holds
-        self.between = next(x for x in ("\n", " ~ ", " @ ") if len(self._ids(f"a{x}b")) == 3)
-        self.mark_id = self._ids(f"a{self.between}b")[1]
+        # a lone word shows where it ends: its last token has a word end, or else the first token of the next one has the space
+        tokens = self.tokenizer.get_vocab()
+        self.by_end = len(self._ids(" a")) == 1 and self.tokenizer.id_to_token(self._ids(" a")[0]).endswith("</w>")
+        self.edge = np.zeros(max(tokens.values()) + 1, bool)
+        self.edge[[i for t, i in tokens.items() if (t.endswith("</w>") if self.by_end else t.startswith("\u0120"))]] = True
         self._forget()
 
     def _ids(self, text: str) -> list[int]:
@@ -56,12 +58,15 @@ class ChunkEncoder:
         words, ids, counts = chunks.filter(pa.array(plain)).to_pylist(), [], []
         for at in range(0, len(words), 256):
             part = words[at : at + 256]
-            got = np.array(self._ids(self.between.join(part) + self.between), np.uint32)
-            ends = np.flatnonzero(got == self.mark_id)
-            if len(ends) != len(part):
-                raise AssertionError("the mark between chunks isn't a token of its own")
-            ids.append(np.delete(got, ends))
-            counts.append(np.diff(ends, prepend=-1) - 1)
+            got = np.array(self._ids("".join(part)), np.uint32)
+            edges = np.flatnonzero(self.edge[got])
+            if len(edges) != len(part):  # a letter that the vocabulary takes for something else
+                each = [self._ids(w) for w in part]
+                got, count = np.array([i for x in each for i in x], np.uint32), [len(x) for x in each]
+            else:
+                count = np.diff(edges, prepend=-1) if self.by_end else np.diff(edges, append=len(got))
+            ids.append(got)
+            counts.append(count)
         for text in chunks.filter(pa.array(~plain)).to_pylist():
             ids.append(np.array(self._ids(text), np.uint32))
             counts.append([len(ids[-1])])
@@ -91,6 +96,8 @@ class ChunkEncoder:
         parts = [*split(first, _ENDS), second[0], *split(second[1], _ENDS)]
         if self.lower:
             parts[0], parts[3] = pc.ascii_lower(parts[0]), pc.ascii_lower(parts[3])
+        if self.by_end:
+            parts[3] = pc.if_else(pc.equal(parts[3], none), none, pc.binary_join_element_wise(none, parts[3], pa.scalar(" ", pa.large_string())))
         coded = pa.concat_arrays(parts).dictionary_encode()
         flat, count = self._encode_each(coded.dictionary)
         place = np.asarray(coded.indices).reshape(5, -1).T.ravel()

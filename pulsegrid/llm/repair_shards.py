@@ -25,28 +25,30 @@ from pulsegrid.llm.common import shuffle_partitions, stage, texts
 MAGIC, BITS = b"RPS1", 16
 #: Ids of a shard, rounds of pairing, rules made in a round, and how often a pair must stand in the shard to become one.
 SHARD_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 20, 5, 3000, 12
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+_MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
 
-def frequent_pairs(s: np.ndarray, may: np.ndarray, mult: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the pairs to replace, most frequent first; at each place the rank of its pair or -1).
+def frequent_pairs(s: np.ndarray, may: np.ndarray, mult: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the pairs to replace, most frequent first; the places of these pairs; the rank of the pair at each).
 
     Places are counted in hash buckets, one pair to a bucket; a pair whose bucket another holds gets its turn in a later round.
     """
-    key = (s[:-1].astype(np.uint32) << np.uint32(16)) | s[1:]
-    h = ((key * np.uint64(mult)) >> np.uint64(64 - BITS)).astype(np.uint16)
-    h, key = h[may], key[may]
+    key = s[:-1].astype(np.uint32)
+    key <<= np.uint32(16)
+    key |= s[1:]
+    h = ((key * np.uint32(mult)) >> np.uint32(32 - BITS)).astype(np.uint16)
     owner = np.zeros(1 << BITS, np.uint32)
     owner[h] = key
-    own = owner[h] == key
-    count = np.bincount(h[own], minlength=1 << BITS)
+    at = np.flatnonzero((owner[h] == key) & may)
+    h = h[at]
+    count = np.bincount(h, minlength=1 << BITS)
     best = np.argsort(-count, kind="stable")[:most]
     best = best[count[best] >= least]
     rank = np.full(1 << BITS, -1, np.int32)
     rank[best] = np.arange(len(best))
-    at = np.full(len(s) - 1, -1, np.int32)
-    at[may] = np.where(own, rank[h], -1)
-    return owner[best], at
+    rank = rank[h]
+    hit = rank >= 0
+    return owner[best], at[hit], rank[hit]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,15 +62,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
         room = min(RULES_A_ROUND, (1 << 16) - made)
         if len(s) < 2 or room <= 0:
             break
-        keys, rank = frequent_pairs(s, ~last[:-1], _MULTIPLIERS[r % len(_MULTIPLIERS)], room, LEAST)
+        keys, at, rank = frequent_pairs(s, ~last[:-1], _MULTIPLIERS[r % len(_MULTIPLIERS)], room, LEAST)
         if not len(keys):
             break
         # of overlapping places in a run, every other one counts, from the left
-        hit = rank >= 0
-        place = np.arange(len(hit))
-        begins = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), place, 0))
-        take = np.flatnonzero(hit & (((place - begins) & 1) == 0))
-        s[take] = (made + rank[take]).astype(np.uint16)
+        place = np.arange(len(at))
+        begins = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, place, 0))
+        odd = ((place - begins) & 1) == 0
+        take = at[odd]
+        s[take] = (made + rank[odd]).astype(np.uint16)
         last[take] = last[take + 1]
         keep = np.ones(len(s), bool)
         keep[take + 1] = False
