@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat_grammar, embedding_links, license_join, packing, quality, rare_features, repair_shards, simhash_links
+from pulsegrid.llm import chat_grammar, embedding_links, license_join, line_dedup, packing, quality, rare_features, repair_shards, simhash_links, viterbi_pieces
 from pulsegrid.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -35,11 +35,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
+def op5_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, _ = packing.pieces_of(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return packing.pack(pieces)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -61,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op3_rare_features": op3_rare_features,
     "op4_quality": op4_quality,
+    "op5_viterbi_pieces": op5_viterbi_pieces,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat_grammar": op8_chat_grammar,
     "op9_simhash": op9_simhash,
     "op10_embedding_links": op10_embedding_links,
