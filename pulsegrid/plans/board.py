@@ -39,11 +39,11 @@ def board_collapse(spark, d):  # noqa: ANN001, ANN201
 
 def board_winner(spark, d):  # noqa: ANN001, ANN201
     out = board.winners(board.evidence(_collapsed(spark, d)), "evidence")
-    return _round(out.select("track", "rate", "bits", "support", "evidence", "runner_up", "margin"), support=6, evidence=5, runner_up=5, margin=5)
+    return _round(out.select("track", "rate", "bits", "support", "evidence", "runner_up", "margin"), support=6, evidence=9, runner_up=9, margin=9)
 
 
 def full_board(spark, d):  # noqa: ANN001, ANN201
-    return _round(_full(spark, d).select("track", "rate", "bits", "base", "rank"), base=6)
+    return _round(_full(spark, d).select("track", "rate", "bits", "base", "rank"), base=9)
 
 
 def lane_classify(spark, d):  # noqa: ANN001, ANN201
@@ -52,12 +52,12 @@ def lane_classify(spark, d):  # noqa: ANN001, ANN201
 
 def conservative_select(spark, d):  # noqa: ANN001, ANN201
     raw = _raw(spark, d)
-    return _round(board.conservative(raw, board.lanes(raw)), support=6, winner_support=6, score=5)
+    return _round(board.conservative(raw, board.lanes(raw)), support=6, winner_support=6, score=9)
 
 
 def route_independent(spark, d):  # noqa: ANN001, ANN201
     best = board.best_first(board.route_independent(_collapsed(spark, d)), "measured").where("rank = 1")
-    return _round(best.select("track", "rate", "support", "measured"), support=6, measured=6)
+    return _round(best.select("track", "rate", "support", "measured"), support=6, measured=9)
 
 
 def alias_bucket_support(spark, d):  # noqa: ANN001, ANN201
@@ -80,7 +80,7 @@ def _decisions(spark, d):  # noqa: ANN001, ANN202
 
 
 def policy_decision(spark, d):  # noqa: ANN001, ANN201
-    return _round(_decisions(spark, d)[1], margin=6)
+    return _round(_decisions(spark, d)[1], margin=9)
 
 
 def witness_semi_join(spark, d):  # noqa: ANN001, ANN201
@@ -93,7 +93,7 @@ def review_candidates(spark, d):  # noqa: ANN001, ANN201
     measured = full.select("track", "rate", F.col("base").alias("evidence"), "support", "rank", F.lit("full_board").alias("source"))
     best = board.best_first(board.route_independent(_collapsed(spark, d)), "measured").where("rank = 1")
     primary = best.select("track", "rate", F.col("measured").alias("evidence"), "support", F.lit(None).cast("int").alias("rank"), F.lit("primary_selector").alias("source"))
-    return _round(board.review_candidates(measured.unionByName(primary)), evidence=6, support=6)
+    return _round(board.review_candidates(measured.unionByName(primary)), evidence=9, support=6)
 
 
 def confidence(spark, d):  # noqa: ANN001, ANN201
@@ -146,17 +146,17 @@ ORACLE = {
     "board_raw": f"WITH {RAW} SELECT track, rate, bit, segment_hits, winner_hits, rows, winner_rows, round(score_sum, 6) AS score_sum, round(quant_sum, 6) AS quant_sum, best_score, best_quant FROM raw",
     "board_collapse": f"WITH {RAW} SELECT track, rate, bits, round(support, 6) AS support, round(winner_support, 6) AS winner_support, round(score_sum, 6) AS score_sum, best_score, round(quant, 6) AS quant, rows FROM col",
     "board_winner": f"""WITH {EVID} SELECT track, max(CASE WHEN rank = 1 THEN rate END) AS rate, max(CASE WHEN rank = 1 THEN bits END) AS bits, round(max(CASE WHEN rank = 1 THEN support END), 6) AS support,
-      round(max(CASE WHEN rank = 1 THEN evidence END), 5) AS evidence, round(coalesce(max(CASE WHEN rank = 2 THEN evidence END), 0), 5) AS runner_up,
-      round(max(CASE WHEN rank = 1 THEN evidence END) - coalesce(max(CASE WHEN rank = 2 THEN evidence END), 0), 5) AS margin FROM er GROUP BY track""",
-    "full_board": f"WITH {FULL} SELECT track, rate, bits, round(base, 6) AS base, rank::INT AS rank FROM fb",
+      round(max(CASE WHEN rank = 1 THEN evidence END), 9) AS evidence, round(coalesce(max(CASE WHEN rank = 2 THEN evidence END), 0), 9) AS runner_up,
+      round(max(CASE WHEN rank = 1 THEN evidence END) - coalesce(max(CASE WHEN rank = 2 THEN evidence END), 0), 9) AS margin FROM er GROUP BY track""",
+    "full_board": f"WITH {FULL} SELECT track, rate, bits, round(base, 9) AS base, rank::INT AS rank FROM fb",
     "lane_classify": f"WITH {LANES} SELECT track, round(best, 6) AS best, round(high_direct, 6) AS high_direct, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high, lane FROM lanes",
     "conservative_select": f"""WITH {LANES}, sc AS (SELECT sup.*, lane, (CASE WHEN bit & {_EXT} <> 0 THEN 0 ELSE 2 END) + (CASE WHEN support >= 0.15 THEN 1 ELSE 0 END) AS pool, round(support * 9 + winner_support * 2 + ln(score_sum + 1) * 0.8::DOUBLE + best_score * 2.5::DOUBLE
       + quant_sum / rows * 0.4::DOUBLE + CASE WHEN bit = {B('equivalent')} THEN 0.8::DOUBLE WHEN bit & {_NEAR} <> 0 THEN -0.2::DOUBLE WHEN bit & {_EXT} <> 0 THEN -3.5::DOUBLE ELSE -1 END
       - abs(rate - 130) * CASE WHEN lane = 'general' THEN 0.06::DOUBLE ELSE 0.035::DOUBLE END + CASE WHEN lane = 'high_pulse' THEN (CASE WHEN rate >= 150 THEN 5 ELSE 0 END) + (CASE WHEN bit = {B('equivalent')} THEN 2 ELSE 0 END) - (CASE WHEN rate < 130 THEN 4 ELSE 0 END) ELSE 0 END
       - CASE WHEN bit & {_EXT} <> 0 THEN 4 ELSE 0 END - CASE WHEN support < 0.15 THEN 3 ELSE 0 END, 9) AS score FROM sup JOIN lanes USING (track))
-      SELECT track, lane, rate, bit, round(support, 6) AS support, round(winner_support, 6) AS winner_support, round(score, 5) AS score FROM
+      SELECT track, lane, rate, bit, round(support, 6) AS support, round(winner_support, 6) AS winner_support, round(score, 9) AS score FROM
       (SELECT *, row_number() OVER (PARTITION BY track ORDER BY pool DESC, score DESC, support DESC, winner_support DESC, score_sum DESC, rate, bit) AS n FROM sc) WHERE n = 1""",
-    "route_independent": f"WITH {RAW}, {_MEASURED} SELECT track, rate, round(support, 6) AS support, round(measured, 6) AS measured FROM mr WHERE rank = 1",
+    "route_independent": f"WITH {RAW}, {_MEASURED} SELECT track, rate, round(support, 6) AS support, round(measured, 9) AS measured FROM mr WHERE rank = 1",
     "alias_bucket_support": f"""WITH {RAW}, x AS (SELECT track, segment, winner, round(rate * ratio / 0.25) * 0.25 AS target FROM c, {relations.sql_values()} WHERE rate * ratio BETWEEN 40 AND 220)
       SELECT track, target, round(count(DISTINCT segment) / any_value(total)::DOUBLE, 6) AS support, round(count(DISTINCT CASE WHEN winner THEN segment END) / any_value(total)::DOUBLE, 6) AS winner_support
       FROM x JOIN total USING (track) WHERE target IN (108, 120, 132, 135, 136, 144) GROUP BY track, target""",
@@ -166,13 +166,13 @@ ORACLE = {
       WHERE abs(b.rate / a.rate - q) / q < 0.018::DOUBLE GROUP BY a.track, a.rate)
       SELECT track, rate, round(base, 6) AS base, round(local, 6) AS local, round(greatest(coalesce(family, 0), 0), 5) AS family, round(exp(-0.5::DOUBLE * pow((rate - 130) / 45, 2)), 6) AS proximity FROM u LEFT JOIN f USING (track, rate)""",
     "nearest_target": f"WITH {FULL} SELECT track, 128.0::DOUBLE AS target, rate, round(abs(rate - 128), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round(abs(rate - 128), 9), base DESC, rate) AS n FROM fb) WHERE n = 1",
-    "policy_decision": f"WITH {DECIDED} SELECT track, winner_rate, round(margin, 6) AS margin, current_rate, conflict_rate, reason, output_rate, would_write FROM dec",
+    "policy_decision": f"WITH {DECIDED} SELECT track, winner_rate, round(margin, 9) AS margin, current_rate, conflict_rate, reason, output_rate, would_write FROM dec",
     "witness_semi_join": f"""WITH {DECIDED}, w AS (SELECT dec.*, EXISTS (SELECT 1 FROM fb WHERE fb.track = dec.track AND abs(fb.rate - dec.output_rate) <= 0.001) AND output_rate BETWEEN 40 AND 220 AS witnessed FROM dec)
       SELECT track, CASE WHEN would_write AND NOT witnessed THEN 'unmeasured_output_hold' ELSE reason END AS reason, CASE WHEN would_write AND NOT witnessed THEN 0 ELSE output_rate END AS output_rate, would_write AND witnessed AS would_write, witnessed FROM w""",
     "review_candidates": f"""WITH {FULL}, {_MEASURED}, m AS (SELECT track, rate, base AS evidence, support, rank, 'full_board' AS source FROM fb UNION ALL SELECT track, rate, measured, support, NULL, 'primary_selector' FROM mr WHERE rank = 1),
       o AS (SELECT track, round(rate, 3) AS rate, max(evidence) AS evidence, max(support) AS support, min(rank) AS rank, array_to_string(list_sort(list_distinct(list(source))), '|') AS sources FROM m GROUP BY 1, 2),
       p AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY (rank IS NULL), evidence DESC, support DESC, rate) AS place FROM o)
-      SELECT track, rate, round(evidence, 6) AS evidence, round(support, 6) AS support, sources, coalesce(rank, place)::INT AS rank, CASE WHEN place = 1 THEN 'Final' WHEN place <= 3 THEN 'Alt' || (place - 1) ELSE '' END AS role FROM p""",
+      SELECT track, rate, round(evidence, 9) AS evidence, round(support, 6) AS support, sources, coalesce(rank, place)::INT AS rank, CASE WHEN place = 1 THEN 'Final' WHEN place <= 3 THEN 'Alt' || (place - 1) ELSE '' END AS role FROM p""",
     "confidence": f"""WITH {RAW}, {_MEASURED} SELECT track, rate, round(least(99, greatest(0, 30 + 50 * least(1, greatest(0, support)) + 8 * least(1, greatest(0, best_score / 0.45::DOUBLE)) + 6 * least(1, greatest(0, quant / 0.4::DOUBLE))
       + CASE WHEN winner_support >= 0.5 THEN 4 ELSE 0 END)), 5) AS confidence FROM mr WHERE rank = 1""",
 }

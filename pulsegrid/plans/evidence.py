@@ -68,7 +68,7 @@ def score_categories(spark, d):  # noqa: ANN001, ANN201
     part = inputs.table(spark, d, "part")
     reference = part.select(F.col("p_partkey").alias("ordinal"), F.when(F.col("p_size") > 3, F.col("p_size") + 10.0).alias("reference"))
     seen = inputs.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("ordinal")).agg(F.round(F.avg("l_quantity"), 3).alias("bpm"), (F.max("l_discount") < 0.09).alias("held"))
-    return evidence.score_categories(reference, seen).withColumn("relative_error", F.round("relative_error", 6))
+    return evidence.score_categories(reference, seen).withColumn("relative_error", F.round("relative_error", 9))
 
 
 def tag_delta(spark, d):  # noqa: ANN001, ANN201
@@ -117,7 +117,7 @@ ORACLE = {
     "review_reconcile": "SELECT c_custkey AS track FROM customer WHERE c_acctbal < 3000 AND c_custkey NOT IN (SELECT o_custkey FROM orders) UNION SELECT o_custkey FROM orders WHERE o_totalprice > 450000",
     "score_categories": """WITH s AS (SELECT l_partkey AS ordinal, round(avg(l_quantity), 3) AS bpm, max(l_discount) < 0.09 AS held FROM lineitem GROUP BY 1), j AS (SELECT p_partkey AS ordinal, CASE WHEN p_size > 3 THEN p_size + 10.0::DOUBLE END AS r, bpm, held FROM part JOIN s ON p_partkey = ordinal)
       SELECT ordinal, CASE WHEN r IS NULL THEN CASE WHEN held OR bpm <= 0 THEN 'correct_abstention' ELSE 'false_positive' END WHEN held OR bpm <= 0 THEN 'abstained' WHEN abs(bpm - r) / r <= 0.02 THEN 'within_two_percent'
-      WHEN abs(bpm / r - 0.5) <= 0.04 OR abs(bpm / r - 2) <= 0.04 THEN 'half_double_alias' ELSE 'other' END AS category, round(abs(bpm - r) / r, 6) AS relative_error FROM j""",
+      WHEN abs(bpm / r - 0.5) <= 0.04 OR abs(bpm / r - 2) <= 0.04 THEN 'half_double_alias' ELSE 'other' END AS category, round(abs(bpm - r) / r, 9) AS relative_error FROM j""",
     "tag_delta": """WITH n AS (SELECT o_custkey AS track, round(max(o_totalprice) / 50, 3) AS rate, bool_or(o_orderstatus = 'P') AS held, round(max(o_totalprice) / 4000, 2) AS confidence FROM orders GROUP BY 1), j AS (SELECT track, format('{:.0f}', round(c_acctbal, 0)) AS old, format('{:.0f}', round(rate, 0)) AS new, held, rate, confidence FROM n LEFT JOIN customer ON track = c_custkey)
       SELECT track, old, new, round(least(100, greatest(0, confidence)))::INT AS confidence FROM j WHERE NOT held AND rate > 0 AND new IS DISTINCT FROM old""",
     "tag_scale": "SELECT c_custkey AS track, format('{:.2f}', c_acctbal) AS old, format('{:.1f}', round(format('{:.2f}', c_acctbal)::DOUBLE * 0.5::DOUBLE, 1)) AS new FROM customer WHERE c_mktsegment <> 'BUILDING' AND format('{:.2f}', c_acctbal)::DOUBLE > 0",
