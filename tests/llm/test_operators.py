@@ -148,6 +148,13 @@ def test_op5(spark, sf_dir, docs):
         assert (r["n_tokens"], r["ids_crc32"], r["same"]) == (len(ids), crc(ids), True)
 
 
+def test_op5_apart(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "hello  world"), (2, None), (3, "a\nb")], "doc_id long, text string")
+    got = by_id(viterbi_pieces.decode_documents(viterbi_pieces.encode_documents(df, path), path))
+    assert [got[i]["decoded"] for i in (1, 2, 3)] == ["hello  world", "", "a\nb"] and got[3]["n_byte_tokens"] == 1
+
+
 def test_op5_odd_texts():
     import sentencepiece
 
