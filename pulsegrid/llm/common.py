@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -34,17 +37,26 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
-def stage(df: DataFrame, name: str, replaces: str | None = None) -> tuple[DataFrame, str]:
+#: Shuffle files of a query go when it ends; nothing reads them again once its result is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, *replaces: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends in a table that outlives executors.
 
-    replaces: a table staged before that is no longer needed and goes once this one is written.
+    replaces: tables staged before that are no longer needed and go once this one is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     atexit.register(_drop_at_exit, spark, path)
-    if replaces:
-        drop(spark, replaces)
+    for old in replaces:
+        drop(spark, old)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -45,5 +45,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "links"
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("p")
         small = large.join(low, "u").select(pairs).select(F.col("p.v").alias("u"), F.col("p.m").alias("v")).where("u <> v").distinct()
-        e, path = stage(small, name, replaces=path)
+        e, path = stage(small, name, path)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,129 +1,184 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
-A line is lower-cased and its white space made single spaces. Its shingles are the windows of WINDOW characters that begin where a
-word begins; a line of fewer than FEW words has all its windows instead. The shingles' hashes are the one permutation: they stand on a
-ring that BANDS fixed points divide, and each band is the ROWS least hashes from its point on. Lines that share a band are candidates,
+A line is lower-cased and its white space made single spaces. Its shingles are all its windows of WINDOW characters; a line of fewer
+characters is one shingle. Of the shingles' hashes, SIGNATURE fixed points each take the nearest (by exclusive or), which makes the
+MinHash signature; its values stand in a square whose rows, columns and diagonals are the bands. Lines that share a band are candidates,
 the exact Jaccard similarity of their shingles decides, and distributed union-find makes components, of which one line stays.
+
+No pair of lines that share a band is lost, however crowded the band, and no crowd is compared all with all; see links().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import stage, texts
+from pulsegrid.llm.common import drop, stage, texts
 from pulsegrid.llm.components import components
 
-WINDOW, FEW, BANDS, ROWS, SIMILAR = 10, 8, 8, 4, 0.8
-#: A band of so many members has them all compared; of a larger one, the others are held against so many, round by round; so many that
-#: are left then are all compared at once.
-SMALL, PIVOTS, LEFT = 16, (1, 4, 4, 4), 128
+WINDOW, SIDE, SIMILAR = 10, 4, 0.8
+SIGNATURE = SIDE * SIDE
+#: Rows, columns and diagonals of the square: no two bands have more than one value in common.
+BANDS = [[SIDE * r + c for c in range(SIDE)] for r in range(SIDE)] + [[SIDE * r + c for r in range(SIDE)] for c in range(SIDE)] + [[SIDE * r + (r + d) % SIDE for r in range(SIDE)] for d in range(SIDE)]
+#: Members of a band that are each compared with so many others at most; the rest of a larger band meets through what differs.
+FEW = 8
+_ID_BITS = 62
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, th, n, line): normalised lines with words; th is a hash of the whole text, n the line's number from 0."""
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("low"))
-    odd = F.contains("low", F.lit("  ")) | F.contains("low", F.lit("\t")) | F.contains("low", F.lit("\r")) | F.contains("low", F.lit("\u00a0"))
-    low = F.when(odd, F.regexp_replace("low", "[ \\t\\r\\f\\x0B\u00a0]+", " ")).otherwise(F.col("low"))
+    odd = F.contains("low", F.lit("  ")) | F.contains("low", F.lit("\t")) | F.contains("low", F.lit("\r")) | F.contains("low", F.lit(" "))
+    low = F.when(odd, F.regexp_replace("low", "[ \\t\\r\\f\\x0B ]+", " ")).otherwise(F.col("low"))
     rows = rows.select("doc_id", "th", F.posexplode(F.split(low, "\n")).alias("n", "line"))
     return rows.select("doc_id", "th", "n", F.trim("line").alias("line")).where("line <> ''")
 
 
+def _wide(line: Column) -> Column:
+    """Four bytes for each character, so that a window is found without a search."""
+    return F.encode(line, "UTF-32")
+
+
+def _last(wide: Column) -> Column:
+    """The number of the last window, from 0."""
+    return F.greatest((F.octet_length(wide) / 4).cast("int") - WINDOW, F.lit(0))
+
+
+def _window(wide: Column, i: Column) -> Column:
+    return F.call_function("substring", wide, i * 4 + 1, F.lit(4 * WINDOW))
+
+
 def shingles(line: Column) -> Column:
-    """Distinct hashes of a normalised line's shingles."""
-    by_word = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f" (?=(.{{1,{WINDOW}}}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(f"(?=(.{{{WINDOW}}}))"), F.lit(1))
-    short = F.when(F.length(line) >= WINDOW, every).otherwise(F.array(line))
-    chosen = F.element_at(F.transform(F.array(by_word), lambda w: F.when(F.size(w) >= FEW, w).otherwise(short)), 1)
-    return F.array_distinct(F.transform(chosen, lambda x: F.xxhash64(x)))
+    """Distinct 64-bit hashes of a normalised line's shingles."""
+    return F.array_distinct(F.element_at(F.transform(F.array(_wide(line)), lambda w: F.transform(F.sequence(F.lit(0), _last(w)), lambda i: F.xxhash64(_window(w, i)))), 1))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(id, n, m0, m1, ...) for each distinct line: how often it stands and its signature. lines: id, other, line.
+
+    Ids that two texts have (their second hashes, other, differ) are left out: such lines are never taken for equal or similar.
+    The windows are rows only within a task: their minima are combined there, and a row for each line and task is shuffled.
+    """
+    wide = lines.select("id", "other", _wide(F.col("line")).alias("w"))
+    windows = wide.select("id", "other", "w", F.explode(F.sequence(F.lit(0), _last(F.col("w")))).alias("i")).select("id", "other", "i", F.hash(_window(F.col("w"), F.col("i"))).alias("h"))
+    points = [(k << 32) // SIGNATURE - (1 << 31) for k in range(SIGNATURE)]
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(points)]
+    out = windows.groupBy("id").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *least)
+    return out.where("lo = hi").drop("lo", "hi")
+
+
+def with_nodes(signed: DataFrame) -> DataFrame:
+    """Adds node, the id with the line's frequency, in four steps, above it: in a band, the least node is a line that stands often."""
+    step = F.when(F.col("n") >= 16, -2).when(F.col("n") >= 4, -1).when(F.col("n") >= 2, 0).otherwise(1).cast("long")
+    return signed.withColumn("node", step * F.lit(1 << _ID_BITS) + F.col("id"))
+
+
+def id_of(node: Column) -> Column:
+    return node.bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+
+
+def band_keys(signed: DataFrame) -> DataFrame:
+    """(key, node): a row for each band of each line."""
+    return signed.select("node", F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in enumerate(BANDS)])).alias("key"))
 
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """lines with k0, k1, ..., the band keys of each line, in place of line. Sorted among the hashes, a fixed point shows its place there."""
-    own = [c for c in lines.columns if c != "line"]
-    points = [(band << 64) // BANDS - (1 << 63) for band in range(BANDS)]
-    marks = F.array(*[F.lit(p).cast("long") for p in points])
-    ring = lines.select(*own, shingles(F.col("line")).alias("s"))
-    ring = ring.select(*own, F.sort_array("s").alias("s"), F.sort_array(F.concat("s", marks)).alias("marked"))
-    ring = ring.select(*own, F.concat("s", F.slice("s", 1, ROWS)).alias("s"), *[(F.array_position("marked", F.lit(p).cast("long")) - band).cast("int").alias(f"p{band}") for band, p in enumerate(points)])
-    return ring.select(*own, *[F.xxhash64(F.lit(band), F.slice("s", F.col(f"p{band}"), F.lit(ROWS))).alias(f"k{band}") for band in range(BANDS)])
+def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The columns of pairs (a, b, ...), na, nb, common: sizes of their shingle sets and of what is in both. lines: node, line."""
+    a, b = lines.select(F.col("node").alias("a"), F.col("line").alias("la")), lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
+    sets = pairs.join(a, "a").join(b, "b").select(*pairs.columns, shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
+    return sets.select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
-def similar(pairs: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(a, b) of pairs whose exact Jaccard similarity meets the threshold. lines: id, s (their shingles)."""
-    a, b = lines.select(F.col("id").alias("a"), F.col("s").alias("sa")), lines.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
+def _meets(threshold: float) -> Column:
+    return F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9
 
 
-def _rest(active: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): of a band's members left over, all pairs that can still be similar; where no more than LEFT are left, all pairs.
+def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tuple[DataFrame, str]:
+    """(a, b), written, and where: verified pairs that connect all lines which share a band and are similar. bands: key, node; lines: id, line.
 
-    Shingles that one of these lines alone has can't be shared; their number bounds its similarity with any other. So of
-    the many lines of a crowd that each differ too much from all others, hardly a pair is made, and none is lost.
+    Each member of a band is compared with one of it, the pivot, which most bands of a crowd have in common. Members that link
+    with the pivot are connected. What the others may link with is found
+    - in a band of up to FEW members by comparing them with the rest of it,
+    - in a larger one through the sets in which members differ from the pivot; see _differences().
     """
-    sized, _ = stage(active.join(active.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "line-rest")
-    few, members = sized.where(F.col("n") <= LEFT), sized.where(F.col("n") > LEFT).select("key", "id")
-    direct = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a > b").select("a", "b")
-    own, _ = stage(lines.join(members.select("id").distinct(), "id", "left_semi"), "line-shingles")
-    alone = own.select("id", F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    sizes = own.select("id", F.size("s").alias("n")).join(alone.groupBy("id").agg(F.count("*").alias("u")), "id", "left")
-    sizes = members.join(sizes.select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")), "id")
-    rows, _ = stage(sizes.where(F.col("m") >= threshold * F.col("n") - 1e-9), "line-rest")
-    a, b = (rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
-    most = F.least("ma", "mb")
-    can = most >= threshold * (F.col("na") + F.col("nb") - most) - 1e-9
-    return a.join(b, (a["key"] == b["key"]) & (F.col("a") > F.col("b")) & can).select("a", "b").union(direct).distinct()
-
-
-def links(bands: DataFrame, docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(a, b): verified pairs that join what the bands' members link to. bands: key, id.
-
-    The members of a small band are compared with each other. Those of a larger one are held against one of them, then those that don't
-    link with it against a few of these, and so on by PIVOTS. So a band costs a few comparisons for each member, however large
-    it is. What is left of it is compared with each other.
+    groups = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most"), F.count("*").alias("n")).where("a < most").select("key", "a", "n")
+    members, members_path = stage(bands.join(groups, "key").where("node <> a").select("key", "a", F.col("node").alias("b"), "n"), "line-bands")
+    nodes = members.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # copies of a line go where they stand, before any line is shuffled
+    held = lines.dropDuplicates(["id"]).join(nodes.select(id_of(F.col("node")).alias("id"), "node"), "id").select("node", "line")
+    held, held_path = stage(held, "line-texts")
+    met, met_path = stage(compared(members.select("a", "b").distinct(), held), "line-pivots")
+    met = met.withColumn("linked", _meets(threshold))
+    found = met.where("linked").select("a", "b")
+
+    # bands with a member that doesn't link with the pivot and another besides
+    some = members.where("n > 2").join(met.select("a", "b", "linked"), ["a", "b"])
+    loose = some.groupBy("key").agg(F.bool_and("linked").alias("done")).where("not done").select("key")
+    some, some_path = stage(some.join(loose, "key").select("key", "a", "b", "n", "linked"), "line-loose", members_path)
+    few = some.where(F.col("n") <= FEW)
+    x, y = (few.select("key", F.col("b").alias(c), F.col("linked").alias(f"l{c}")) for c in "ab")
+    direct = x.join(y, "key").where("a < b and not (la and lb)").select("a", "b").distinct()
+    crowd = some.where(F.col("n") > FEW).select("a", "b").distinct().join(met, ["a", "b"])
+    apart, apart_path = _differences(crowd, held, threshold)
+    left = _apart(apart, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = compared(direct.union(left).distinct(), held).where(_meets(threshold)).select("a", "b")
+    return stage(found.union(more), "line-links", held_path, met_path, some_path, apart_path)
+
+
+def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
+    """(pivot, b, linked, size, all, own, other, c, s, w, at), written, and where: the sets D(b) in which lines differ from their pivot, in parts.
+
+    crowd: a (the pivot), b, na, nb, common, linked. Lines x and y differ in as much as D(x) and D(y) do: similar to t means that D(x) and D(y)
+    differ in r (|x| + |y|) members at most, r = (1 - t) / (1 + t). Where x doesn't link, |D(x)| > r (|x| + |pivot|). So D(x) and D(y)
+    share |D(x)| - r (|x| + |y|) members at least, and also (|D(y)| + r (|pivot| - |y|)) / 2. With the members of a crowd's differences
+    ordered by how many lines have them, rarest first, x and y meet among the first `own` of D(x) and the first `other` of D(y).
+    What all lines share with the pivot is in no difference, and what one line alone has meets nothing: hardly a pair is made in vain.
+    Members that the same c lines have are one part s of weight w; at is the weight before it; size is |b|, all is |D(b)|.
     """
-    groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "n")
-    members, _ = stage(bands.join(groups.hint("shuffle_hash"), "key").select("key", "id", "n"), "line-bands")
-    ids = members.select("id").distinct()
-    held = lines_of(docs).select(F.xxhash64("line").alias("id"), "line").join(ids.hint("shuffle_hash"), "id", "left_semi")
-    lines, _ = stage(held.dropDuplicates(["id"]).select("id", shingles(F.col("line")).alias("s")), "line-texts")
-
-    few = members.where(F.col("n") <= SMALL)
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a > b")
-    found = [stage(similar(pairs.select("a", "b").distinct(), lines, threshold), "line-links")[0]]
-    active = members.where(F.col("n") > SMALL).select("key", "id")
-    for pivots in PIVOTS:
-        if active.isEmpty():
-            break
-        chosen = active.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(pivots))).agg(F.min("id").alias("b")).select("key", "b")
-        met, _ = stage(active.join(chosen, "key").where("id <> b").select("key", F.col("id").alias("a"), "b"), "line-pairs")
-        new, _ = stage(similar(met.select("a", "b").distinct(), lines, threshold), "line-links")
-        found.append(new)
-        done = met.join(new, ["a", "b"], "left_semi").select("key", "a").union(met.select("key", "b"))
-        active, _ = stage(met.select("key", "a").distinct().join(done, ["key", "a"], "left_anti").select("key", F.col("a").alias("id")), "line-rest")
-    if not active.isEmpty():
-        found.append(stage(similar(_rest(active, lines, threshold), lines, threshold), "line-links")[0])
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    r = (1 - threshold) / (1 + threshold)
+    a, b = lines.select(F.col("node").alias("a"), F.col("line").alias("la")), lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
+    sets = crowd.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "linked", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
+    terms = sets.select(F.col("a").alias("pivot"), "b", "na", "nb", "linked", F.explode(F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))).alias("t"))
+    terms, terms_path = stage(terms, "line-terms")
+    held = terms.groupBy("pivot", "t").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(b))").alias("s"))
+    parts = terms.join(held, ["pivot", "t"]).groupBy("pivot", "b", "na", "nb", "linked", "c", "s").agg(F.count("*").alias("w"))
+    line = Window.partitionBy("pivot", "b")
+    parts = parts.withColumn("all", F.sum("w").over(line)).withColumn("at", F.sum("w").over(line.orderBy("c", "s")) - F.col("w"))
+    own = F.when(~F.col("linked"), F.floor(r * F.col("nb") * (1 + 1 / threshold) + 1e-6) + 1)
+    other = F.greatest(F.col("all") - F.ceil((F.col("all") + r * (F.col("na") - F.col("nb"))) / 2 - 1e-6) + 1, F.lit(1))
+    parts = parts.where("c > 1").select("pivot", "b", "linked", F.col("nb").alias("size"), "all", own.alias("own"), other.alias("other"), "c", "s", "w", "at")
+    return stage(parts, "line-differences", terms_path)
+
+
+def _apart(apart: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all b that a may link with, where a doesn't link with the pivot."""
+    r = (1 - threshold) / (1 + threshold)
+    x = apart.where("at < own").select("pivot", "s", F.col("b").alias("a"), F.col("size").alias("nx"), F.col("all").alias("dx"), (F.col("all") - F.col("at")).alias("rx"))
+    y = apart.where("at < other").select("pivot", "s", "b", F.col("size").alias("ny"), F.col("all").alias("dy"), (F.col("all") - F.col("at")).alias("ry"))
+    # from the first part in common on, no more is left than this; the sizes alone may rule a pair out
+    room = F.least("rx", "ry") >= (F.col("dx") + F.col("dy") - r * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
+    fit = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-6
+    same = (x["pivot"] == y["pivot"]) & (x["s"] == y["s"])
+    return x.join(y, same & (x["a"] != y["b"]) & room & fit).select("a", "b").distinct()
 
 
 def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(doc_id, th, n, line_id, component_id, kept): the lines that have an equal or similar one. One line of each component is kept.
 
-    docs: doc_id, text. A line's id is its 64-bit hash; a component's is the least. Kept is the line that comes first by doc_id (null
+    docs: doc_id, text. A line's id is its 62-bit hash; a component's is one of its lines'. Kept is the line that comes first by doc_id (null
     first), hash of the text, number. Rows of one doc_id and text count as one document. Lines without words are never listed.
+    Lines of one id count as equal where a second hash agrees; else none of them is listed.
     """
-    own = lines_of(docs).select("doc_id", "th", "n", F.xxhash64("line").alias("id"), "line")
-    marked, _ = stage(with_bands(own), "lines-marked")
-    counted, _ = stage(marked.groupBy("id").agg(F.count("*").alias("n"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(BANDS)]), "lines")
-    bands = counted.select("id", F.explode(F.array(*[f"k{i}" for i in range(BANDS)])).alias("key"))
-    named = components(links(bands, docs, threshold), name="line-components")
-    again = counted.where("n > 1").select("id").join(named.select(F.col("node").alias("id"), "component"), "id", "full")
-    places = marked.select("doc_id", "th", "n", "id").join(again, "id")
-    places, _ = stage(places.select("doc_id", "th", "n", F.col("id").alias("line_id"), F.coalesce("component", "id").alias("component_id")), "line-places")
+    own = lines_of(docs).select("doc_id", "th", "n", F.shiftrightunsigned(F.xxhash64("line"), 64 - _ID_BITS).alias("id"), F.hash("line").alias("other"), "line")
+    own, own_path = stage(own, "lines", compression="zstd")
+    signed, signed_path = stage(signatures(own.select("id", "other", "line")), "line-signatures")
+    signed = with_nodes(signed)
+    found, found_path = links(band_keys(signed), own.select("id", "line"), threshold)
+    named = components(found, name="line-components")
+    drop(found.sparkSession, found_path)
+    again = signed.where("n > 1").select("node").join(named, "node", "full").select(id_of(F.col("node")).alias("id"), F.coalesce("component", "node").alias("component_id"))
+    places = own.select("doc_id", "th", "n", "id").join(again, "id")
+    places, _ = stage(places.select("doc_id", "th", "n", F.col("id").alias("line_id"), "component_id"), "line-places", own_path, signed_path)
     place = F.struct("doc_id", "th", "n")
     first = places.groupBy("component_id").agg(F.min(place).alias("first"))
     return places.join(first, "component_id").select("doc_id", "th", "n", "line_id", "component_id", (place == F.col("first")).alias("kept"))
