@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import drop, stage, texts
 from pulsegrid.llm.components import components
 
-WINDOW, SIDE, SIMILAR = 10, 4, 0.8
+WINDOW, SIDE, SIMILAR = 10, 3, 0.8
 SIGNATURE = SIDE * SIDE
 #: Rows, columns and diagonals of the square: no two bands have more than one value in common.
 BANDS = [[SIDE * r + c for c in range(SIDE)] for r in range(SIDE)] + [[SIDE * r + c for r in range(SIDE)] for c in range(SIDE)] + [[SIDE * r + (r + d) % SIDE for r in range(SIDE)] for d in range(SIDE)]
+#: Windows in a row while minima are made; parts of a line that are tried first.
+STEP, PARTS = 8, 3
 #: Members of a band that are each compared with so many others at most; the rest of a larger band meets through what differs.
 FEW = 8
 _ID_BITS = 62
@@ -57,13 +59,14 @@ def signatures(lines: DataFrame) -> DataFrame:
     """(id, n, m0, m1, ...) for each distinct line: how often it stands and its signature. lines: id, other, line.
 
     Ids that two texts have (their second hashes, other, differ) are left out: such lines are never taken for equal or similar.
-    The windows are rows only within a task: their minima are combined there, and a row for each line and task is shuffled.
+    The windows are rows, STEP to a row, only within a task: their minima are combined there, and a row for each line and task is shuffled.
     """
-    wide = lines.select("id", "other", _wide(F.col("line")).alias("w"))
-    windows = wide.select("id", "other", "w", F.explode(F.sequence(F.lit(0), _last(F.col("w")))).alias("i")).select("id", "other", "i", F.hash(_window(F.col("w"), F.col("i"))).alias("h"))
+    wide = lines.select("id", "other", _wide(F.col("line")).alias("w")).withColumn("last", _last(F.col("w")))
+    runs = wide.select("id", "other", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    hashes = [F.hash(_window(F.col("w"), F.least(F.col("i") + j, F.col("last")))).alias(f"h{j}") for j in range(STEP)]
     points = [(k << 32) // SIGNATURE - (1 << 31) for k in range(SIGNATURE)]
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(points)]
-    out = windows.groupBy("id").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *least)
+    least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(p)) for j in range(STEP)])).alias(f"m{k}") for k, p in enumerate(points)]
+    out = runs.select("id", "other", "i", *hashes).groupBy("id").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *least)
     return out.where("lo = hi").drop("lo", "hi")
 
 
@@ -94,15 +97,15 @@ def _meets(threshold: float) -> Column:
 
 
 def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tuple[DataFrame, str]:
-    """(a, b), written, and where: verified pairs that connect all lines which share a band and are similar. bands: key, node; lines: id, line.
+    """(a, b), written, and where: pairs that connect all lines which share a band and are similar, by verified links. bands: key, node; lines: id, line.
 
     Each member of a band is compared with one of it, the pivot, which most bands of a crowd have in common. Members that link
     with the pivot are connected. What the others may link with is found
     - in a band of up to FEW members by comparing them with the rest of it,
     - in a larger one through the sets in which members differ from the pivot; see _differences().
     """
-    groups = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most"), F.count("*").alias("n")).where("a < most").select("key", "a", "n")
-    members, members_path = stage(bands.join(groups, "key").where("node <> a").select("key", "a", F.col("node").alias("b"), "n"), "line-bands")
+    groups = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
+    members, members_path = stage(bands.join(groups, "key").where("node <> a").select("key", "a", F.col("node").alias("b")), "line-bands")
     nodes = members.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # copies of a line go where they stand, before any line is shuffled
     held = lines.dropDuplicates(["id"]).join(nodes.select(id_of(F.col("node")).alias("id"), "node"), "id").select("node", "line")
@@ -111,18 +114,21 @@ def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tup
     met = met.withColumn("linked", _meets(threshold))
     found = met.where("linked").select("a", "b")
 
-    # bands with a member that doesn't link with the pivot and another besides
-    some = members.where("n > 2").join(met.select("a", "b", "linked"), ["a", "b"])
-    loose = some.groupBy("key").agg(F.bool_and("linked").alias("done")).where("not done").select("key")
+    # bands with a member that doesn't link with the pivot and another besides; n counts members without the pivot
+    some = members.join(met.select("a", "b", "linked"), ["a", "b"])
+    loose = some.groupBy("key").agg(F.bool_and("linked").alias("done"), F.count("*").alias("n")).where("not done and n > 1").select("key", "n")
     some, some_path = stage(some.join(loose, "key").select("key", "a", "b", "n", "linked"), "line-loose", members_path)
-    few = some.where(F.col("n") <= FEW)
+    few = some.where(F.col("n") < FEW)
     x, y = (few.select("key", F.col("b").alias(c), F.col("linked").alias(f"l{c}")) for c in "ab")
-    direct = x.join(y, "key").where("a < b and not (la and lb)").select("a", "b").distinct()
-    crowd = some.where(F.col("n") > FEW).select("a", "b").distinct().join(met, ["a", "b"])
+    direct = x.join(y, "key").where("a < b and not (la and lb)").select("a", "b")
+    crowd = some.where(F.col("n") >= FEW).select("a", "b").distinct().join(met, ["a", "b"])
     apart, apart_path = _differences(crowd, held, threshold)
-    left = _apart(apart, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = compared(direct.union(left).distinct(), held).where(_meets(threshold)).select("a", "b")
-    return stage(found.union(more), "line-links", held_path, met_path, some_path, apart_path)
+    # what a line of a crowd most likely links with; lines that are connected by now need not be compared
+    tried, tried_path = stage(compared(direct.union(_likely(apart)).distinct(), held).where(_meets(threshold)).select("a", "b").union(found), "line-links", some_path, met_path)
+    labels = components(tried, name="line-labels")
+    left = _apart(apart.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("component", "b")), threshold)
+    more = compared(left, held).where(_meets(threshold)).select("a", "b")
+    return stage(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more), "line-links", held_path, apart_path, tried_path)
 
 
 def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
@@ -150,16 +156,24 @@ def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[
     return stage(parts, "line-differences", terms_path)
 
 
+def _likely(apart: DataFrame) -> DataFrame:
+    """(a, b): for each line the one that differs least from the pivot among those that have one of its PARTS rarest parts too."""
+    near = apart.groupBy("pivot", "s").agg(F.min(F.struct("all", "b")).alias("near"))
+    rare = apart.withColumn("place", F.row_number().over(Window.partitionBy("pivot", "b").orderBy("at"))).where(F.col("place") <= PARTS)
+    met = rare.select("pivot", "s", F.col("b").alias("x")).join(near, ["pivot", "s"]).where("near.b <> x")
+    return met.select(F.least("x", "near.b").alias("a"), F.greatest("x", "near.b").alias("b")).distinct()
+
+
 def _apart(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all b that a may link with, where a doesn't link with the pivot."""
+    """(a, b): all pairs of different labels that may link, of which one at least doesn't link with the pivot. apart: with a label for each b."""
     r = (1 - threshold) / (1 + threshold)
-    x = apart.where("at < own").select("pivot", "s", F.col("b").alias("a"), F.col("size").alias("nx"), F.col("all").alias("dx"), (F.col("all") - F.col("at")).alias("rx"))
-    y = apart.where("at < other").select("pivot", "s", "b", F.col("size").alias("ny"), F.col("all").alias("dy"), (F.col("all") - F.col("at")).alias("ry"))
+    x = apart.where("at < own").select("pivot", "s", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("all").alias("dx"), (F.col("all") - F.col("at")).alias("rx"))
+    y = apart.where("at < other").select("pivot", "s", F.col("b").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), F.col("all").alias("dy"), (F.col("all") - F.col("at")).alias("ry"))
     # from the first part in common on, no more is left than this; the sizes alone may rule a pair out
     room = F.least("rx", "ry") >= (F.col("dx") + F.col("dy") - r * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
     fit = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-6
     same = (x["pivot"] == y["pivot"]) & (x["s"] == y["s"])
-    return x.join(y, same & (x["a"] != y["b"]) & room & fit).select("a", "b").distinct()
+    return x.join(y, same & (F.col("lx") != F.col("ly")) & room & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
