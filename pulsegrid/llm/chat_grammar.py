@@ -36,6 +36,10 @@ class NotInGrammar(ValueError):
     pass
 
 
+class _Open(NotInGrammar):
+    """The text ends before the turn does."""
+
+
 def _field(s: str, at: int, pattern: re.Pattern, end: str) -> tuple[str, int]:
     """(the field without escapes, the place of the control string that ends it)."""
     parts, begin = [], at
@@ -48,21 +52,60 @@ def _field(s: str, at: int, pattern: re.Pattern, end: str) -> tuple[str, int]:
         parts.append(s[begin : m.start()])
         parts.append(m[1])
         begin = m.end()
-    raise NotInGrammar("a field has no end")
+    raise _Open("a field has no end")
+
+
+def _turn(s: str, at: int) -> tuple[str, str, int, int, int]:
+    """(role, text, begin and end of the text with its escapes, end) of the turn that begins at `at`."""
+    if not s.startswith(OPEN, at):
+        raise (_Open if OPEN.startswith(s[at:]) else NotInGrammar)(f"no turn begins at {at}")
+    role, to = _field(s, at + len(OPEN), _ROLE, BREAK)
+    begin = to + len(BREAK)
+    text, end = _field(s, begin, _TEXT, CLOSE)
+    return role, text, begin, end, end + len(CLOSE)
 
 
 def parse(s: str, at: int = 0) -> Iterator[tuple[str, str, int, int]]:
     """(role, text, begin, end) for each turn; s[begin:end] is the text with its escapes."""
     while at < len(s):
-        if not s.startswith(OPEN, at):
-            raise NotInGrammar(f"no turn begins at {at}")
-        role, at = _field(s, at + len(OPEN), _ROLE, BREAK)
-        begin = at + len(BREAK)
-        text, end = _field(s, begin, _TEXT, CLOSE)
-        at = end + len(CLOSE)
+        role, text, begin, end, at = _turn(s, at)
         yield role, text, begin, end
 
 
+class Reader:
+    """Parses one formatted conversation that comes in parts of any lengths; the grammar alone finds where a turn ends.
+
+    Of the text only what no turn has ended is held.
+    """
+
+    def __init__(self) -> None:
+        self.held: list[str] = []
+        self.tail, self.at = "", 0
+
+    def feed(self, part: str) -> Iterator[tuple[str, str, int, int]]:
+        """(role, text, begin, end) for each turn that ends in this part; begin and end are code points of the whole conversation."""
+        if not part:
+            return
+        self.held.append(part)
+        seen = self.tail + part
+        self.tail = seen[1 - len(CLOSE) :]
+        if CLOSE not in seen:  # no turn can end here
+            return
+        s, done = "".join(self.held), 0
+        while done < len(s):
+            try:
+                role, text, begin, end, to = _turn(s, done)
+            except _Open:
+                break
+            yield role, text, self.at + begin, self.at + end
+            done = to
+        self.held, self.at = [s[done:]] * (done < len(s)), self.at + done
+
+    def close(self) -> None:
+        if self.held:
+            raise NotInGrammar("the conversation ends within a turn")
+
+
 def render(role: str, text: str) -> tuple[str, int, int]:
     """(turn, begin and end of the text in it)."""
     for of_role, of_text in _ESCAPES:
@@ -105,26 +148,40 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 
 def read_formatted(formatted: DataFrame) -> DataFrame:
-    """Parses formatted conversations and digests what it finds; a row for each. Turns pass one by one, so no conversation need fit in memory."""
+    """Parses each conversation's joined text and digests what it finds; a row for each.
+
+    Turns and the loss mask, an assistant's text, are what the parser finds in the joined text, not what the rows say; a stored mask
+    that differs from it is a NotInGrammar error. Parts pass one by one, so no conversation need fit in memory.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: list = []
+        reader, masks, parsed = Reader(), 0, 0
         for batch in batches:
             done = []
             for conv, _, s, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not here or here[0] != conv:
                     if here:
+                        reader.close()
                         done.append(here)
-                    here = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, a, b in parse(s):
+                    here, reader = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], Reader()
+                    masks = parsed = 0
+                # sums over places say whether the stored masks and those found are the same
+                if end > begin:
+                    masks += (here[5] + begin) * 1_000_003 + here[5] + end
+                here[5] += len(s)
+                for role, text, a, b in reader.feed(s):
                     here[1] += 1
                     here[2].update(f"{role}\n{text}\n".encode())
-                    if (a, b) == (begin, end):
+                    if role == "assistant":
                         here[3] += len(text)
                         here[4].update(text.encode())
-                here[5] += len(s)
+                        parsed += (a * 1_000_003 + b) * (b > a)
+                if not reader.held and masks != parsed:
+                    raise NotInGrammar(f"the loss mask of conversation {conv} isn't that of its text")
             yield table_of(done)
         if here:
+            reader.close()
             yield table_of([here])
 
     def table_of(done: list) -> pa.RecordBatch:

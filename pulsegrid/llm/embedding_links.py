@@ -2,8 +2,9 @@
 
 Rows meet in compound cells of a few projections, so many and so often that a pair at the threshold shares a cell of some table with
 probability 0.99; the number of projections in a cell follows the logarithm of the row count, so cells keep their size as the data
-grow. In a cell, rows are sorted by one projection; a window around each row as the centre gives its candidates, further projections
-are counted wherever their window holds the other row too, and pairs whose count passes are verified by cosine in double precision.
+grow. What goes to the cells is a sketch of a vector, its further projections in a byte each. In a cell each of these is sorted; a window
+around each row as the centre collides with the rows in it, and collisions are counted for each pair. Only vectors in a pair
+whose count passes go to the cells themselves, where cosine in double precision decides.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ LINK = 0.95
 CELL, WINDOW, COUNTED, RECALL = 2.0, 0.6, 32, 0.995
 #: Rows that a cell holds on the average, and rows of a cell compared in one place.
 CELL_ROWS, GROUP = 64, 2048
+#: A projection in a sketch is counted in so many; windows there are as much wider as two roundings may take.
+STEP = 0.05
 _PAIRS = 100_000
 
 
@@ -55,6 +58,10 @@ class Projections:
         self.mix = rng.integers(1, 1 << 62, k, dtype=np.int64) | 1
         self.k, self.tables, self.dim = k, tables, dim
 
+    def sketch(self, x: np.ndarray) -> np.ndarray:
+        """The counted projections of each row, a byte each; what is too large for it stands at its end."""
+        return np.clip(np.rint(x @ self.counted / STEP), -127, 127).astype(np.int8)
+
     def cell_keys(self, x: np.ndarray) -> np.ndarray:
         """A number for the cell of each row in each table."""
         side = np.floor((x @ self.cells + self.shift) / CELL).astype(np.int64).reshape(len(x), self.tables, self.k)
@@ -70,6 +77,38 @@ def _unit(rows: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def collisions(sketch: np.ndarray, group: np.ndarray, side: np.ndarray, across: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one group that stand in each other's window in `least` projections or more. Rows come sorted by group.
+
+    side, across: where across is set, only rows of different sides are paired.
+    """
+    n = np.bincount(group)
+    base, first = np.cumsum(n * n) - n * n, np.cumsum(n) - n
+    place = np.arange(len(group)) - first[group]
+    count = np.zeros(int((n * n).sum()), np.uint8)
+    wide = int(np.ceil(WINDOW / STEP)) + 1
+    for p in range(sketch.shape[1]):
+        order = np.lexsort((sketch[:, p], group))
+        line = group[order] * 1024 + sketch[order, p].astype(np.int64)
+        number = np.searchsorted(line, line + wide, side="right") - np.arange(len(line)) - 1
+        upto = np.cumsum(number)
+        at = 0
+        while at < len(line):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 10 * _PAIRS, side="right")))
+            some = number[at:to]
+            a = np.repeat(np.arange(at, to), some)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
+            at = to
+            a, b = order[a], order[b]
+            g = group[a]
+            count[base[g] + np.minimum(place[a], place[b]) * n[g] + np.maximum(place[a], place[b])] += 1
+    hit = np.flatnonzero(count >= least)
+    g = np.searchsorted(base, hit, side="right") - 1
+    i, j = first[g] + (hit - base[g]) // n[g], first[g] + (hit - base[g]) % n[g]
+    fit = ~across[i] | (side[i] != side[j])
+    return i[fit], j[fit]
+
+
 def pair_links(x: np.ndarray, group: np.ndarray, side: np.ndarray, across: np.ndarray, project: Projections, least: int, link: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of the same group with cosine >= link. side, across: where across is set, only rows of different sides are paired."""
     values = x @ project.counted
@@ -112,29 +151,47 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes, _ = stage(good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).where("node is not null"), "vectors")
     k, tables, least = plan(nodes.count(), link)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Projections] = {}
-        for batch in batches:
-            sizes = np.diff(np.asarray(batch.column(0).offsets))
-            for dim in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == dim))
-                p = made.setdefault(int(dim), Projections(int(dim), k, tables))
-                for at in range(0, part.num_rows, 256):
-                    few = part.slice(at, 256)
-                    keys = p.cell_keys(_unit(few.column(0)))
-                    again = np.repeat(np.arange(few.num_rows), tables)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(few.column(i).take(pa.array(again)) for i in range(3))], ["cell", "embedding", "node", "weight"])
+    def dealer(sketches: bool):  # noqa: ANN202
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, Projections] = {}
+            for batch in batches:
+                sizes = np.diff(np.asarray(batch.column(0).offsets))
+                for dim in np.unique(sizes):
+                    part = batch.filter(pa.array(sizes == dim))
+                    p = made.setdefault(int(dim), Projections(int(dim), k, tables))
+                    for at in range(0, part.num_rows, 1024):
+                        few = part.slice(at, 1024)
+                        x = _unit(few.column(0))
+                        out = [pa.array(p.cell_keys(x).ravel())]
+                        if sketches:
+                            bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COUNTED), len(x), [None, pa.py_buffer(p.sketch(x).tobytes())]).cast(pa.binary())
+                            again = pa.array(np.repeat(np.arange(len(x)), tables))
+                            out += [few.column(1).take(again), bytes_.take(again)]
+                        yield pa.RecordBatch.from_arrays(out, ["cell", "node", "sketch"][: len(out)])
+
+        return deal
 
     kind = dict(nodes.dtypes)["embedding"]
-    cells = nodes.select("embedding", "node", "weight").mapInArrow(deal, f"cell long, embedding {kind}, node long, weight long")
-    sizes = nodes.select("embedding", "node", "weight").mapInArrow(deal, f"cell long, embedding {kind}, node long, weight long").groupBy("cell").count()
+    cells = nodes.select("embedding", "node").mapInArrow(dealer(True), "cell long, node long, sketch binary")
+    sizes = nodes.select("embedding", "node").mapInArrow(dealer(False), "cell long").groupBy("cell").count()
     large = sizes.where(F.col("count") > limit).select("cell", F.ceil(F.col("count") / limit).cast("long").alias("g"))
     # a large cell is dealt out in tiles: a row goes to those of its own share with every other share
     spread = cells.join(large, "cell", "left").withColumn("side", F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("g"))).cast("long"))
     spread = spread.withColumn("d", F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))))
-    spread = spread.select("cell", F.least("side", "d").alias("lo"), F.greatest("side", "d").alias("hi"), "side", "embedding", "node", "weight")
+    spread = spread.select("cell", F.least("side", "d").alias("lo"), F.greatest("side", "d").alias("hi"), "side", "node", "sketch")
     by = ["cell", "lo", "hi"]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in whole_groups(batches, by, 4096):
+            values = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.int8).reshape(-1, COUNTED)
+            lo, hi, side = (rows.column(c).to_numpy() for c in ("lo", "hi", "side"))
+            i, j = collisions(values, group, side, lo != hi, least)
+            keep = np.unique(np.concatenate([i, j]))
+            yield from rows.take(pa.array(keep)).select([*by, "side", "node"]).combine_chunks().to_batches()
+
+    near, near_path = stage(spread.repartition(shuffle_partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(count, "cell long, lo long, hi long, side long, node long"), "vector-cells")
+    spread = near.join(nodes, "node").select("cell", "lo", "hi", "side", "embedding", "node", "weight")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Projections] = {}
         for rows, all_groups in whole_groups(batches, by, 4096):
@@ -162,7 +219,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(count[got]), pa.array(node[root[got]])], ["node", "n", "root"])
 
     dealt = spread.repartition(shuffle_partitions(spark), *by).sortWithinPartitions(*by)
-    found, _ = stage(dealt.mapInArrow(compare, "node long, n long, root long"), "vector-links")
+    found, _ = stage(dealt.mapInArrow(compare, "node long, n long, root long"), "vector-links", near_path)
     named = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), name="vector-components")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     known = nodes.join(counts, "node", "left").join(named, "node", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("c"))

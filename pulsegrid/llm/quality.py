@@ -91,17 +91,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     """Learns from labelled rows that aren't held out: at most 2 * sample texts of each class, the same ones at each run, go to the driver.
 
     docs: doc_id, text; labels: doc_id, quality (0 or 1; others count as absent). None where a class has fewer than 16 texts.
-    Shares of the classes come from all labels that may be used, so scores are chances in the labelled population.
+    Shares of the classes come from all labels that may be used, so scores are chances in the labelled population. Of equal texts the one
+    whose id comes first by hash counts, of a row labelled both ways the 0; two runs over the same rows give the same model.
     """
     usable = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     shares = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    # twice as many ids as texts, as some are too long or have no text
+    # four times as many ids as texts of one use, as some are too long, have no text or one that is there already
     drawn = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample) for q in (0, 1)]
-    chosen = F.broadcast(drawn[0].union(drawn[1]).dropDuplicates(["doc_id"]))
+    chosen = F.broadcast(drawn[0].union(drawn[1]).groupBy("doc_id").agg(F.min("quality").alias("quality")))
     got = texts(docs).where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).join(chosen, "doc_id")
     by: dict[int, list[tuple[int, bytes]]] = {0: [], 1: []}
     for q in (0, 1):
-        for r in got.where(F.col("quality") == q).dropDuplicates(["text"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).select("doc_id", "text").collect():
+        first = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("first")
+        for r in got.where(F.col("quality") == q).groupBy("text").agg(first).orderBy("first").limit(2 * sample).select("first.doc_id", "text").collect():
             by[q].append((r["doc_id"], r["text"].encode()))
     if min(map(len, by.values())) < 16:
         return None
@@ -124,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score for each row. Scores see the text alone; null counts as empty. Without a model every score is 0.5."""
+    """doc_id, score for each row, repeated rows and null ids too. Scores see the text alone, so equal texts have equal scores; null counts as
+    empty, an empty table gives no rows, columns of other names stay behind. Without a model every score is 0.5."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
@@ -137,7 +140,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
-    """The rows of docs, all columns, whose text scores `keep` or more; all of them without a model. Nothing is joined or shuffled."""
+    """The rows of docs, all columns, whose text scores `keep` or more; all of them without a model. Nothing is joined or shuffled.
+
+    Repeated rows and equal texts stay or go together, a score of exactly `keep` stays, a null text counts as empty; columns of any
+    names pass through, and an empty table gives no rows.
+    """
     if model is None:
         return docs
 

@@ -20,8 +20,9 @@ from pulsegrid.llm.common import shuffle_partitions, texts
 
 WINDOW, NEIGHBOURS, POPULAR = 64, 64, 16
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
-#: A text with fewer selected windows than FEW also has all its windows of SHORT bytes as features.
-FEW, SHORT = 16, 12
+#: Windows of SHORT bytes are features too, all of them where no window is selected; each selected one takes 1 / FADE of them away, so
+#: that a short text has features enough and a few bytes more or less change few of them.
+FADE, SHORT = 32, 12
 #: Entropy most windows of text have, in thousandths of six bits, the spread around it, and what is too low to tell texts apart.
 TYPICAL, SPREAD, TOO_LOW = 660, 70, 250
 _SCALE, _NEVER = 1 << 16, 1 << 10
@@ -122,8 +123,10 @@ def features(data: list[bytes]) -> list[np.ndarray]:
         close()
     out = []
     for k, parts in enumerate(found):
-        if sum(map(len, parts)) < FEW:
-            parts.append(_short_windows(data[k]))
+        share = 1 - sum(map(len, parts)) / FADE
+        if share > 0:
+            short = _short_windows(data[k])
+            parts.append(short if share == 1 else short[short < np.uint64(int(share * (1 << 64)))])
         h = np.concatenate(parts)
         out.append(h[np.sort(np.unique(h, return_index=True)[1])])
     return out

@@ -1,7 +1,8 @@
 """Token-id shards with Re-Pair grammars.
 
-A shard holds the ids of consecutive documents. In rounds, frequent adjacent pairs of symbols become nonterminals; no pair
-reaches over a document's end, so each document is a slice of the compressed sequence and can be decoded alone.
+A shard holds the ids of consecutive documents. In rounds, frequent adjacent pairs of symbols become nonterminals, until no pair
+stands LEAST times in the shard or all 65,536 symbols are in use; no pair reaches over a document's end, so each document is a
+slice of the compressed sequence and can be decoded alone, or any part of it by the stored lengths of the rules' expansions.
 
 Layout of a shard, little-endian: magic "RPS1"; n_docs, n_rules, n_symbols, terminals as u32; then doc ids (i64), compressed
 symbols of each document (u32), ids of each document (u32), rules (pairs of u16), expansion lengths of the rules (u32), symbols (u16).
@@ -23,15 +24,17 @@ from pulsegrid.llm.chunk_tokens import encoder, gather
 from pulsegrid.llm.common import shuffle_partitions, stage, texts
 
 MAGIC, BITS = b"RPS1", 16
-#: Ids of a shard, rounds of pairing, rules made in a round, and how often a pair must stand in the shard to become one.
-SHARD_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 20, 5, 3000, 12
+#: Ids of a shard, rules made in a round, and how often a pair must stand in the shard to become one: a rule costs 8 bytes in the file
+#: and a pair replaced saves 2, so rules for rarer pairs gain little, while rounds go on and on.
+SHARD_IDS, RULES_A_ROUND, LEAST = 1 << 20, 3000, 12
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
 
 def frequent_pairs(s: np.ndarray, may: np.ndarray, mult: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys of the pairs to replace, most frequent first; the places of these pairs; the rank of the pair at each).
 
-    Places are counted in hash buckets, one pair to a bucket; a pair whose bucket another holds gets its turn in a later round.
+    Places are counted in hash buckets, one pair to a bucket; a pair whose bucket another holds gets its turn in a later round, at
+    last in one that counts exactly.
     """
     key = s[:-1].astype(np.uint32)
     key <<= np.uint32(16)
@@ -51,18 +54,49 @@ def frequent_pairs(s: np.ndarray, may: np.ndarray, mult: int, most: int, least:
     return owner[best], at[hit], rank[hit]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, places behind each document's last symbol, rules). ends: the same places in ids."""
+def all_frequent_pairs(s: np.ndarray, may: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like frequent_pairs, with exact counts of all pairs. Places of a pair in a run of one symbol count half, as every other one can go."""
+    at = np.flatnonzero(may)
+    key = s[at].astype(np.uint32) << np.uint32(16) | s[at + 1]
+    ordered = np.sort(key)
+    begins = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] ^ np.uint32(1)))
+    keys, count = ordered[begins], np.diff(np.append(begins, len(ordered)))
+    same = (keys >> np.uint32(16)) == (keys & np.uint32(0xFFFF))
+    if same.any():
+        # in a run of n equal symbols that may pair, n // 2 pairs can go
+        run = (s[:-1] == s[1:]) & may
+        edge = np.flatnonzero(np.diff(run.astype(np.int8), prepend=0, append=0))
+        pairs = (edge[1::2] - edge[::2] + 1) // 2
+        of = np.searchsorted(keys, s[edge[::2]].astype(np.uint32) * np.uint32(0x10001))
+        exact = np.bincount(of, pairs, len(keys)).astype(np.int64)
+        count = np.where(same, exact, count)
+    best = np.argsort(-count, kind="stable")[:most]
+    best = best[count[best] >= least]
+    rank = np.full(len(keys), -1, np.int32)
+    rank[best] = np.arange(len(best))
+    rank = rank[np.searchsorted(keys, key)]
+    hit = rank >= 0
+    return keys[best], at[hit], rank[hit]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, places behind each document's last symbol, rules). ends: the same places in ids.
+
+    Afterwards no pair of symbols stands `least` times, unless all symbols are in use.
+    """
+    if terminals >= 1 << 16 or len(ids) and int(ids.max()) >= terminals:
+        raise ValueError("ids must be less than terminals, and terminals less than 65,536")
     s = ids.astype(np.uint16)
     last = np.zeros(len(s), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
-    made = terminals
-    for r in range(ROUNDS):
-        room = min(RULES_A_ROUND, (1 << 16) - made)
-        if len(s) < 2 or room <= 0:
-            break
-        keys, at, rank = frequent_pairs(s, ~last[:-1], _MULTIPLIERS[r % len(_MULTIPLIERS)], room, LEAST)
+    made, rounds = terminals, 0
+    while len(s) > 1 and made < 1 << 16:
+        most = min(RULES_A_ROUND, (1 << 16) - made)
+        keys, at, rank = frequent_pairs(s, ~last[:-1], _MULTIPLIERS[rounds % len(_MULTIPLIERS)], most, least)
+        rounds += 1
+        if len(keys) < 64:
+            keys, at, rank = all_frequent_pairs(s, ~last[:-1], most, least)
         if not len(keys):
             break
         # of overlapping places in a run, every other one counts, from the left
@@ -106,12 +140,14 @@ def to_bytes(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, terminals
     s, behind, rules = compress(ids, np.cumsum(counts), terminals)
     size = expansions(rules, terminals)[1][terminals:]
     head = MAGIC + struct.pack("<4I", len(doc_ids), len(rules), len(s), terminals)
+    if 12 * len(rules) + 2 * len(s) + 16 * len(doc_ids) >= (1 << 31) - 64:
+        raise ValueError("a shard is one binary value of a row, which ends at 2 GiB: a document is too long, split it")
     parts = (doc_ids.astype("<i8"), np.diff(behind, prepend=0).astype("<u4"), counts.astype("<u4"), rules.astype("<u2"), size.astype("<u4"), s.astype("<u2"))
     return head + b"".join(p.tobytes() for p in parts)
 
 
 class Shard:
-    """A shard read back. ids(k) decodes document k alone, all() every document."""
+    """A shard read back. ids(k) decodes document k or a part of it alone, all() every document."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -123,17 +159,40 @@ class Shard:
             parts.append(np.frombuffer(data, kind, count, at))
             at += parts[-1].nbytes
         self.doc_ids, self.n_symbols, self.n_ids, rules, self.rule_sizes, self.symbols = parts
+        self.rules = rules.reshape(-1, 2)
         self.behind = np.cumsum(self.n_symbols, dtype=np.int64)
-        self.start, self.length, self.flat = expansions(rules.reshape(-1, 2), self.terminals)
-
-    def _expand(self, s: np.ndarray) -> np.ndarray:
-        return gather(self.start[s], self.length[s], self.flat)
 
-    def ids(self, k: int) -> np.ndarray:
-        return self._expand(self.symbols[self.behind[k] - self.n_symbols[k] : self.behind[k]])
+    def _sizes(self, s: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for, by the stored lengths."""
+        made = s >= self.terminals
+        out = np.ones(len(s), np.int64)
+        out[made] = self.rule_sizes[s[made] - self.terminals]
+        return out
+
+    def ids(self, k: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """Ids begin to end of document k. Only symbols that reach into this part are expanded, step by step."""
+        s = self.symbols[self.behind[k] - self.n_symbols[k] : self.behind[k]].astype(np.int64)
+        end = int(self.n_ids[k]) if end is None else min(end, int(self.n_ids[k]))
+        begin = max(0, begin)
+        if begin >= end:
+            return np.zeros(0, np.uint32)
+        while True:
+            upto = np.cumsum(self._sizes(s))
+            lo, hi = int(np.searchsorted(upto, begin, side="right")), int(np.searchsorted(upto, end, side="left")) + 1
+            before = int(upto[lo - 1]) if lo else 0
+            s, begin, end = s[lo:hi], begin - before, end - before
+            made = s >= self.terminals
+            if not made.any():
+                return s.astype(np.uint32)
+            place = np.cumsum(1 + made) - 1 - made
+            out = np.empty(len(s) + int(made.sum()), np.int64)
+            out[place[~made]] = s[~made]
+            out[place[made]], out[place[made] + 1] = self.rules[s[made] - self.terminals].T
+            s = out
 
     def all(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        start, length, flat = expansions(self.rules, self.terminals)
+        return gather(start[self.symbols], length[self.symbols], flat)
 
 
 SHARDS = "part int, shard int, part_offset long, first_doc long, n_docs int, n_ids long, payload binary"
@@ -143,9 +202,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, lower: bool,
     """Encodes whole texts and writes them as shards in ascending doc_id order; gives the written table and its path.
 
     docs: doc_id, text (null counts as empty; equal ids stand in any order; a null id comes first and is written as the lowest long).
-    terminals must be under 65,536. The shards are the binary column of a Parquet table, so that any store Spark can reach holds them;
+    terminals must be under 65,536, else ValueError. The shards are the binary column of a Parquet table, so that any store Spark can reach holds them;
     part counts the ranges of ids, shard those in a range, part_offset the ids before the shard in its range.
-    A shard ends with the document that fills it, so a very long document makes one long shard.
+    A shard ends with the document that fills it, so a very long document makes one long shard; over 2 GiB of symbols are a ValueError.
     """
     parts = shuffle_partitions(docs.sparkSession)
     rows = texts(docs).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
@@ -213,4 +272,4 @@ def read_documents(shards: DataFrame, with_ids: bool = True) -> DataFrame:
     return shards.select("part", "part_offset", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-__all__ = ["Shard", "compress", "expansions", "read_documents", "to_bytes", "write_shards"]
+__all__ = ["LEAST", "Shard", "compress", "expansions", "read_documents", "to_bytes", "write_shards"]
