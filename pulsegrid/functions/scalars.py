@@ -93,3 +93,44 @@ def clock(seconds: Column) -> Column:
     """h:mm:ss, at most 99:59:59."""
     s = F.least(F.greatest(F.floor(seconds), F.lit(0)), F.lit(359_999)).cast("int")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+#: Ratios of two rates that agree, with the errors at which they agree fully and not at all; ratios of cross rhythms.
+HARMONIC, AGREE, APART = (1.0, 2.0, 0.5, 1.5, 0.75, 4 / 3, 2 / 3), 0.005, 0.03
+CROSS, CROSS_TOLERANCE = (0.75, 4 / 3, 1.5, 2 / 3), 0.025
+
+
+def harmonic_agreement(a: Column, b: Column) -> Column:
+    """1 where two rates stand in a simple ratio, 0 where they are 3 % off any, in between a straight line; 0 unless both are positive."""
+    error = F.array_min(F.array(*[F.abs(a / F.nullif(b, F.lit(0.0)) - r) / r for r in HARMONIC]))
+    return F.when((a > 0) & (b > 0), clamp(1.0 - (error - AGREE) / (APART - AGREE), 0.0, 1.0)).otherwise(0.0)
+
+
+def cross_rhythm(a: Column, b: Column) -> Column:
+    """Whether two rates stand as three to four or two to three."""
+    ratio = a / F.nullif(b, F.lit(0.0))
+    near = [F.abs(ratio - r) <= CROSS_TOLERANCE for r in CROSS]
+    return F.coalesce(positive(a) & positive(b) & (near[0] | near[1] | near[2] | near[3]), F.lit(False))
+
+
+def rate_tolerance(rate: Column) -> Column:
+    """What counts as the same rate: 0.8 %, 0.6 at least."""
+    return F.greatest(rate * 0.008, F.lit(0.6))
+
+
+def gaussian(distance: Column, most: float = 8.0) -> Column:
+    """exp(-d * d / 2) of a distance in spreads; 1 at or below 0, 0 from `most` on."""
+    return F.when(distance <= 0, 1.0).when(distance >= most, 0.0).otherwise(F.exp(distance * distance * -0.5))
+
+
+def hop_quantised(rate: Column, sample_rate: int, hop: int) -> Column:
+    """(hops, rate, error): the nearest rate whose period is a whole number of hops; null unless the rate is positive."""
+    hops = F.greatest(F.round(F.lit(60.0 * sample_rate) / (rate * hop)), F.lit(1.0))
+    near = F.lit(60.0 * sample_rate) / (hops * hop)
+    return F.when(positive(rate), F.struct(hops.cast("long").alias("hops"), near.alias("rate"), (rate - near).alias("error")))
+
+
+def circular_distance(phase: Column) -> Column:
+    """How far a phase, in turns, is from the next whole turn."""
+    wrapped = phase - F.floor(phase)
+    return F.least(wrapped, 1 - wrapped)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The least concentration of onsets, the least fit of a window's best grid, and reasons of a window without a rate.
+from pulsegrid.functions.scalars import METERS
+from pulsegrid.operators.hypotheses import TATUMS
+
+#: The least concentration of onsets, the least fit of a window's best grid.
 CONCENTRATION, FIT = 1.5, 0.7129778875046098
-REASONS = ("insufficient_odf", "insufficient_onsets", "single_event", "no_loop_hypotheses", "below_threshold", "fit")
 
 
 def hann(n: int) -> np.ndarray:
@@ -28,19 +30,31 @@ def autocorrelation(x: np.ndarray) -> np.ndarray:
     return np.divide(a, a[:, :1], out=np.zeros_like(a), where=a[:, :1] > 0)
 
 
+def rows_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, numbers of rows) and their values as a matrix, for each length of array in a column; rows that are null or hold nulls stay out."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = np.asarray(column.offsets, np.int64)
+    flat = column.values
+    bad = np.asarray(column.is_null())
+    if flat.null_count:
+        holes = np.concatenate([[0], np.cumsum(np.asarray(flat.is_null()))])
+        bad = bad | (holes[ends[1:]] > holes[ends[:-1]])
+    values = np.asarray(flat.fill_null(0.0), np.float64)
+    size = np.where(bad, -1, np.diff(ends))
+    for n in np.unique(size[size > 0]):
+        own = np.flatnonzero(size == n)
+        yield own, values[ends[own][:, None] + np.arange(n)]
+
+
 def circular_autocorrelation(frames: DataFrame, key: str, x: str) -> DataFrame:
-    """(key, acf) for rows of float arrays. Null arrays and ones with nulls give null."""
+    """(key, acf) for rows of float arrays. Null and empty arrays and ones with nulls give null."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = [None] * batch.num_rows
-            rows = batch.column(1).to_pylist()
-            by: dict[int, list[int]] = {}
-            for i, r in enumerate(rows):
-                if r and None not in r:
-                    by.setdefault(len(r), []).append(i)
-            for own in by.values():
-                for i, a in zip(own, autocorrelation(np.array([rows[i] for i in own], np.float64)), strict=True):
+            for own, values in rows_of(batch.column(1)):
+                for i, a in zip(own.tolist(), autocorrelation(values), strict=True):
                     out[i] = a
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "acf"])
 
@@ -84,40 +98,148 @@ def fft_size(sample_rate: Column) -> Column:
     return F.pow(F.lit(2.0), F.least(F.lit(15), F.greatest(F.lit(7), F.lit(11) + F.round(F.log2(sample_rate / 44_100.0)).cast("int")))).cast("int")
 
 
-def vector_strength(positions: np.ndarray, period: float) -> float:
-    return float(np.abs(np.exp(2j * np.pi * positions / period).mean())) if len(positions) else 0.0
-
+def frame_count(samples: Column, sample_rate: Column) -> Column:
+    """The power of two of frames whose hop is nearest to 10 ms."""
+    return F.pow(F.lit(2.0), F.round(F.log2(samples / (sample_rate * 0.01)))).cast("int")
+
+
+def circular_frames(x: np.ndarray, size: int, count: int) -> np.ndarray:
+    """`count` frames of `size` samples at equal hops; the first ends where the first hop does, and what is before the start is the end."""
+    hop = len(x) / count
+    ends = np.floor(hop * np.arange(1, count + 1) + 0.5).astype(np.int64)
+    return x[(ends[:, None] - size + np.arange(size)) % len(x)]
+
+
+def onset_curve(x: np.ndarray, sample_rate: float) -> tuple[np.ndarray, float]:
+    """(curve, frames a second): rises of the compressed spectrum from frame to frame, less a raised mean around each; the last frame goes on
+    to the first. The curve is empty where the window is too short for a power of two of frames."""
+    if not sample_rate > 0 or len(x) < 1:
+        return np.zeros(0), 0.0
+    size = 1 << int(np.clip(11 + np.floor(np.log2(sample_rate / 44_100) + 0.5), 7, 15))
+    count = 1 << max(0, int(np.floor(np.log2(max(1.0, len(x) / (sample_rate * 0.01))) + 0.5)))
+    if count < 2 or len(x) < size:
+        return np.zeros(0), 0.0
+    power = np.abs(np.fft.rfft(circular_frames(np.asarray(x, np.float64), size, count) * hann(size), axis=1))
+    level = np.log2(1 + 100 * power)
+    rise = np.maximum(level - np.roll(level, 1, axis=0), 0).sum(axis=1)
+    rate = count * sample_rate / len(x)
+    half = max(1, int(np.floor(0.2 * rate / 4 + 0.5)))
+    span = 2 * half + 1
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(span) + 1) / (span + 1))
+    mean = sum(np.roll(rise, half - k) * w[k] for k in range(span)) / w.sum()
+    return np.maximum(rise - 1.5 * mean, 0), rate
+
+
+def onset_lag(x: np.ndarray, tatums: int) -> int:
+    """How far a train of equal pulses can be moved before what it hits falls for the first time."""
+    at = np.floor(np.arange(tatums) * (len(x) / tatums) + 0.5).astype(np.int64)
+    padded = np.concatenate([x, np.zeros(len(x) + 1)])
+    hit = padded[at[None, :] + np.arange(len(x))[:, None]].sum(axis=1)
+    falls = np.flatnonzero(hit[1:] < np.maximum.accumulate(hit)[:-1])
+    return int(falls[0]) if len(falls) else len(x) - 1
+
+
+def grid_error(places: np.ndarray, weights: np.ndarray, size: int, tatums: int, lag: int) -> float:
+    """Twice the weighted mean distance to the nearest line of a grid of so many tatums that begins at lag, over its step."""
+    phase = (places - lag) / (size / tatums)
+    return float((2 * np.abs(phase - np.floor(phase + 0.5)) * weights).sum() / weights.sum())
+
+
+def self_similarity(acf: np.ndarray, size: int, lag: float) -> float:
+    """The mean of the autocorrelation at the peaks that are reached uphill from each multiple of a lag."""
+    half = len(acf)
+    found = []
+    for k in range(1, int(half / lag) + 2):
+        j = int(k * lag + 0.5)
+        if j >= half:
+            break
+        for _ in range(size):
+            before, after = (min(i % size, size - i % size) for i in (j - 1, j + 1))
+            if acf[before] <= acf[j] >= acf[after]:
+                break
+            j = before if acf[before] > acf[after] else after
+        found.append(acf[j])
+    return float(np.mean(found)) if found else 0.0
+
+
+def divisions(duration_s: float) -> dict[int, list[tuple[float, float, int]]]:
+    """Tatum counts of a window with the (rate, tatums in a beat, beats in a bar) that complete bars of 1 to 4 seconds allow."""
+    found: dict[int, list[tuple[float, float, int]]] = {}
+    for bars in range(max(1, math.floor(duration_s / 4 + 0.5)), math.floor(duration_s + 0.5) + 1):
+        for per_bar in range(2, 5):
+            beats = bars * per_bar
+            rate = beats * 60 / duration_s
+            for a, b in TATUMS:
+                tatums = beats * a / b
+                if 50 <= rate <= 200 and tatums == int(tatums) and 100 < tatums * 60 / duration_s < 700:
+                    found.setdefault(int(tatums), []).append((rate, a / b, per_bar))
+    return found
+
+
+def _meter(per_beat: float, per_bar: int) -> tuple[str, float, float, float]:
+    name = {2: "6/8" if per_beat == 3 else "2/2", 3: "3/4", 4: "4/4"}[per_bar]
+    return next(m for m in METERS if m[0] == name)
+
+
+def window_fit(curve: np.ndarray, rate: float, duration_s: float) -> tuple[str, int, float, float, str, float]:
+    """(reason, tatums, error, rate, meter, meter score) of one onset curve: the first thing that is missing, or the grid that fits best.
+
+    Of grids with equal errors the one with fewer tatums counts. Of its meters, those in 4/4 go first; then likelihood times self-similarity.
+    """
+    none = (0, 1.0, 0.0, "", 0.0)
+    if len(curve) < 8:
+        return "insufficient_odf", *none
+    places = np.flatnonzero((curve > np.roll(curve, 1)) & (curve > np.roll(curve, -1)))
+    w = np.maximum(curve[places], 0)
+    if len(places) < 3:
+        return "insufficient_onsets", *none
+    if not (w**2).sum() or w.sum() ** 2 / (w**2).sum() < CONCENTRATION:
+        return "single_event", *none
+    possible = divisions(duration_s) if duration_s > 0 else {}
+    if not possible:
+        return "no_loop_hypotheses", *none
+    error, tatums = min((grid_error(places, w, len(curve), t, onset_lag(curve, t)), t) for t in possible)
+    if not np.isfinite(error):
+        return "ambiguous_tatum_fit", *none
+    acf = autocorrelation(curve[None, :])[0]
+    scored = []
+    for bpm, per_beat, per_bar in possible[tatums]:
+        name, mean, spread, prior = _meter(per_beat, per_bar)
+        likely = math.exp(-0.5 * ((bpm - mean) / spread) ** 2) * prior
+        scored.append((name == "4/4", likely * self_similarity(acf, len(curve), rate * 60 / bpm), -bpm, name))
+    _, score, bpm, name = max(scored)
+    return ("fit" if min(1.0, max(0.0, 1 - error)) >= FIT else "below_threshold"), tatums, error, -bpm, name, score
+
+
+FITTED = "reason string, num_tatums int, error double, rate double, meter string, meter_score double"
+
+
+def _fitted(frames: DataFrame, key: str, x: str, fit: Callable[[np.ndarray], tuple]) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.float64())
+        for batch in batches:
+            out: list[tuple] = [("invalid_input", 0, 1.0, 0.0, "", 0.0)] * batch.num_rows
+            for own, values in rows_of(batch.column(1)):
+                for i, row in zip(own.tolist(), values, strict=True):
+                    if np.isfinite(row).all():
+                        out[i] = fit(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], [key, *[f.split()[0] for f in FITTED.split(", ")]])
 
-def grid_error(places: np.ndarray, weights: np.ndarray, size: int, tatums: int) -> float:
-    """Twice the weighted mean distance to the nearest line of a grid of so many tatums, over its step, at the best of its offsets."""
-    step = size / tatums
-    phase = places[:, None] / step - np.linspace(0, 1, 16, endpoint=False)[None, :]
-    d = np.abs(phase - np.round(phase)) * 2
-    return float(((d * weights[:, None]).sum(axis=0) / weights.sum()).min())
+    return frames.select(F.col(key).cast("long").alias(key), F.col(x).cast("array<double>").alias(x)).mapInArrow(each, f"{key} long, {FITTED}")
 
 
-def window_fit(x: np.ndarray, duration_s: float, num_tatums: list[int]) -> tuple[str, int, float]:
-    """(reason, tatums, error) of one onset curve: the first thing that is missing, or the grid that fits best."""
-    if len(x) < 8:
-        return "insufficient_odf", 0, 1.0
-    places = np.flatnonzero((x > np.roll(x, 1)) & (x > np.roll(x, -1)))
-    w = np.maximum(x[places], 0)
-    if len(places) < 3:
-        return "insufficient_onsets", 0, 1.0
-    if not (w**2).sum() or w.sum() ** 2 / (w**2).sum() < CONCENTRATION:
-        return "single_event", 0, 1.0
-    if not num_tatums:
-        return "no_loop_hypotheses", 0, 1.0
-    error, best = min((grid_error(places, w, len(x), t), t) for t in num_tatums)
-    return ("fit" if 1 - error >= FIT else "below_threshold"), best, error
+def evaluate_curves(frames: DataFrame, key: str, x: str, duration_s: float) -> DataFrame:
+    """(key, reason, num_tatums, error, rate, meter, meter_score) of each window's onset curve; a broken row says so and fails no task."""
+    return _fitted(frames, key, x, lambda row: window_fit(row, len(row) / duration_s, duration_s))
 
 
-def evaluate_windows(frames: DataFrame, key: str, x: str, duration_s: float, num_tatums: list[int]) -> DataFrame:
-    """(key, reason, num_tatums, error) for each window's onset curve; a broken row says so and fails no task."""
+def evaluate_windows(samples: DataFrame, key: str, x: str, sample_rate: float) -> DataFrame:
+    """The same of each window's samples, from which the onset curve is made; under 1,024 samples a window is invalid."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [window_fit(np.array(r or [], np.float64), duration_s, num_tatums) if r is None or None not in r else ("invalid_input", 0, 1.0) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out])], [key, "reason", "num_tatums", "error"])
+    def fit(row: np.ndarray) -> tuple:
+        if len(row) < 1024:
+            return "invalid_input", 0, 1.0, 0.0, "", 0.0
+        curve, rate = onset_curve(row, sample_rate)
+        return window_fit(curve, rate, len(row) / sample_rate)
 
-    return frames.select(F.col(key).cast("long").alias(key), F.col(x).cast("array<double>").alias(x)).mapInArrow(each, f"{key} long, reason string, num_tatums int, error double")
+    return _fitted(samples, key, x, fit)

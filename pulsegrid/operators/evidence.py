@@ -77,16 +77,60 @@ def multiset_overlap(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -
     return out.withColumn("equal", (F.col("rows_a") == F.col("shared")) & (F.col("rows_b") == F.col("shared")))
 
 
-def ordinals(keys: DataFrame, key: str) -> DataFrame:
-    """(key, name): T0001, T0002, ... by key. Keys are dealt by range and numbered in each, so no task orders them all."""
-    ranged = keys.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
-    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number for each partition
-    before, so_far = {}, 0
-    for p in sorted(sizes):
-        before[p], so_far = so_far, so_far + sizes[p]
-    shift = F.element_at(F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv]), F.col("part")) if before else F.lit(0)
-    n = F.row_number().over(Window.partitionBy("part").orderBy(key)) + shift
-    return ranged.select(key, F.format_string("T%04d", n).alias("name"))
+def ordinals(keys: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """(key, name): T0001, T0002, ... by a numeric key.
+
+    Keys are numbered within buckets between fixed bounds, the quantiles of the keys, which only they decide: no task orders
+    them all, and no partition needs to be the same twice. Bounds and the buckets' sizes are `buckets` numbers each.
+    """
+    one = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    bounds = sorted(set(one.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)])).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    rows = one.withColumn("bucket", bucket)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))  # `buckets` rows
+    placed = rows.join(F.broadcast(before), "bucket").withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(key)) + F.col("before"))
+    return placed.select(key, F.format_string("T%04d", "n").alias("name"))
+
+
+def stage_class(board_rows: Column, source: Column, state: Column) -> Column:
+    """How far a track came: no policy record, an impossible one, nothing measured, measured but held or without a board, or written."""
+    return (
+        F.when(source.isNull(), "UNKNOWN_POLICY").when(~source.isin(0, 1), "INCONSISTENT").when((board_rows == 0) & (source == 0), "NO_MEASURED_SOURCE")
+        .when(board_rows == 0, "SOURCE_WITHOUT_POLICY_BOARD").when(state == "HOLD", "MEASURED_BUT_HOLD").otherwise("MEASURED_AND_OUTPUT")
+    )
+
+
+def short_stage(stage: Column) -> Column:
+    """The five classes that are told apart between builds."""
+    return F.when(stage == "SOURCE_WITHOUT_POLICY_BOARD", "SOURCE_WITHOUT_BOARD").when(stage == "MEASURED_BUT_HOLD", "MEASURED_HELD").when(stage == "MEASURED_AND_OUTPUT", "MEASURED_OUTPUT").otherwise(stage)
+
+
+def trace_coverage(segments: DataFrame) -> DataFrame:
+    """(track, reasons, seen, declared, coverage) of segment records (track, segment, reason, declared): all windows declared, some, or none."""
+    own = segments.groupBy("track", "reason").agg(F.count("*").alias("n"), F.min("declared").alias("declared"))
+    out = own.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("reason", "n"))).alias("r"), F.sum("n").alias("seen"), F.min("declared").alias("declared"))
+    text = F.array_join(F.transform("r", lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), " ")
+    coverage = F.when(F.col("seen") == 0, "NO_TRACE").when(F.col("seen") == F.col("declared"), "COMPLETE").otherwise("PARTIAL")
+    return out.select("track", text.alias("reasons"), "seen", "declared", coverage.alias("coverage"))
+
+
+def sweep(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(dimension, error) of two runs' settings (track, seconds, passes, low, high): what changed between them.
+
+    A run with mixed settings, two changed factors, other tracks or another range of offsets is an error; one row.
+    """
+    def of(run: DataFrame, n: str) -> DataFrame:
+        kinds = F.count_distinct("seconds", "passes")
+        return run.agg(F.min("seconds").alias(f"s{n}"), F.min("passes").alias(f"p{n}"), kinds.alias(f"k{n}"))
+
+    same = F.col("x.low").eqNullSafe(F.col("y.low")) & F.col("x.high").eqNullSafe(F.col("y.high"))
+    met = a.alias("x").join(b.alias("y"), "track", "full")
+    keys = met.agg(F.count_if(F.col("x.seconds").isNull() | F.col("y.seconds").isNull()).alias("apart"), F.count_if(~same).alias("offsets"))
+    j = of(a, "a").join(of(b, "b"), F.lit(True)).join(keys, F.lit(True))  # one row each
+    error = F.when(F.col("apart") > 0, "track_identity").when((F.col("ka") > 1) | (F.col("kb") > 1), "mixed_settings").when((F.col("sa") != F.col("sb")) & (F.col("pa") != F.col("pb")), "confounded").when(F.col("offsets") > 0, "offset_policy")
+    dimension = F.when(F.col("sa") != F.col("sb"), "window_seconds").when(F.col("pa") != F.col("pb"), "passes").otherwise("repeat")
+    return j.select(F.when(error.isNull(), dimension).alias("dimension"), error.alias("error"))
 
 
 def score_categories(reference: DataFrame, observed: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import positive
+from pulsegrid.operators import folds
+
+#: Windows as a share of the chosen rate with their least width, and the weights of what is measured in them.
+SPREAD = {"tight": (0.008, 0.6), "wide": (0.020, 1.2), "mad": (0.06, 1.6)}
+SPREAD_WEIGHTS = {"wide": 0.50, "tight": 0.35, "quality": 0.15}
 
 
 def window_plan(tracks: DataFrame, seconds: float = 20.0, passes: int = 50, low: float = 20.0, high: float = 80.0, decode_margin: float = 1.0, end_margin: float = 0.5) -> DataFrame:
@@ -165,32 +170,92 @@ def histogram_p95(values: DataFrame, bounds: list[float]) -> DataFrame:
 
 
 def spaced(peaks: DataFrame, spacing: float) -> DataFrame:
-    """(track, t, weight): of peaks closer than spacing to the last one accepted, the stronger stays; its place moves along.
-
-    The fold goes over one track's peaks in order; a track's peaks are one row of a few numbers each.
-    """
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("t", "weight"))),
-        F.array().cast("array<struct<t:double,weight:double>>"),
-        lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(
-            F.when(p["t"] - F.element_at(acc, -1)["t"] >= spacing, F.concat(acc, F.array(p))).otherwise(
-                F.when(p["weight"] > F.element_at(acc, -1)["weight"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(p))).otherwise(acc)
-            )
-        ),
-    )
-    return peaks.select("track", F.col("t").cast("double").alias("t"), F.col("weight").cast("double").alias("weight")).groupBy("track").agg(folded.alias("f")).select("track", F.inline("f"))
+    """(track, t, weight): of peaks closer than spacing to the last one accepted, the stronger stays; its place moves along."""
+    rows = peaks.select("track", F.col("t").cast("double").alias("t"), F.col("weight").cast("double").alias("weight"))
+    return folds.folded(rows, ["track"], ["t"], lambda: folds.Spaced(spacing), "t double, weight double")
 
 
 def clusters(values: DataFrame, tolerance: float = 0.5, keep: int = 3) -> DataFrame:
     """(track, centre, n): sorted values (track, x) join the first cluster whose running mean is within tolerance; the largest stay."""
-    kind = "array<struct<c:double,n:bigint>>"
+    rows = values.select("track", F.col("x").cast("double").alias("x"))
+    return folds.folded(rows, ["track"], ["x"], lambda: folds.Clusters(tolerance, keep), "centre double, n long, place int").drop("place")
+
+
+def unburst(onsets: DataFrame, near: int, window: int, share: float = 0.62, follow: float = 0.90) -> DataFrame:
+    """(track, place, weight): onsets (track, place, weight) that reach `share` of the strongest within `near` of them and don't follow a kept
+    one within `window` with less than `follow` of its weight."""
+    around = Window.partitionBy("track").orderBy("place").rangeBetween(-near, near)
+    top = F.max("weight").over(around)
+    kept = onsets.withColumn("top", top).where(~((F.col("top") > 0) & (F.col("weight") + 1e-12 < F.col("top") * share))).select("track", "place", "weight")
+    return folds.folded(kept, ["track"], ["place"], lambda: folds.Bursts(window, follow), "place long, weight double")
+
+
+def spread_out(onsets: DataFrame, spacing: int, offset: int = 0) -> DataFrame:
+    """(track, place): onsets at least `spacing` behind the last one taken, moved by `offset`."""
+    return folds.folded(onsets.select("track", "place"), ["track"], ["place"], lambda: folds.Spread(spacing, offset), "place long")
+
+
+def near_share(values: DataFrame, centres: DataFrame, *tolerances: float) -> DataFrame:
+    """(track, n, near_1, ...): the share of a track's values (track, x) within each tolerance of its centre (track, centre)."""
+    d = F.abs(F.col("x") - F.col("centre"))
+    shares = [F.avg(F.when(d <= t, 1.0).otherwise(0.0)).alias(f"near_{i}") for i, t in enumerate(tolerances, 1)]
+    return values.join(centres, "track").groupBy("track").agg(F.count("*").alias("n"), *shares)
+
+
+def spread_confidence(values: DataFrame, chosen: DataFrame, trust_at: float = 50.0) -> DataFrame:
+    """(track, n, confidence) of a chosen rate by how its track's values (track, x) spread around it; chosen: track, rate.
+
+    Shares near it, in a tight and a wide window, and the mean distance count by fixed weights; few values are trusted less.
+    """
+    c, d = F.col("rate"), F.abs(F.col("x") - F.col("rate"))
+    joined = values.join(chosen.where(positive(c)), "track")
+    share = lambda width: F.avg(F.when(d <= width, 1.0).otherwise(0.0))
+    rows = joined.groupBy("track", "rate").agg(F.count("*").alias("n"), share(F.greatest(c * SPREAD["tight"][0], F.lit(SPREAD["tight"][1]))).alias("tight"), share(F.greatest(c * SPREAD["wide"][0], F.lit(SPREAD["wide"][1]))).alias("wide"), F.avg(d).alias("mad"))
+    quality = 1.0 - F.least(F.lit(1.0), F.col("mad") / F.greatest(c * SPREAD["mad"][0], F.lit(SPREAD["mad"][1])))
+    raw = F.col("wide") * SPREAD_WEIGHTS["wide"] + F.col("tight") * SPREAD_WEIGHTS["tight"] + quality * SPREAD_WEIGHTS["quality"]
+    trust = F.least(F.lit(1.0), F.col("n") / max(4.0, trust_at) * 0.25 + 0.75)
+    score = F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw * trust)), F.lit(0.45)) * 100
+    score = F.when((score < 5) & (F.col("wide") > 0), 5.0).otherwise(score)
+    return rows.select("track", "n", F.when(F.col("n") == 1, 55.0).otherwise(F.least(F.lit(100.0), score)).alias("confidence"))
+
+
+def hops(samples: DataFrame, hop: int) -> DataFrame:
+    """(track, hop, energy, high): mean square and mean squared first difference, as log1p, of each whole hop of (track, sample, x).
+
+    The difference starts anew in each hop; a last hop that isn't full is left out.
+    """
+    w = Window.partitionBy("track", "hop").orderBy("sample")
+    rows = samples.withColumn("hop", F.floor(F.col("sample") / hop)).withColumn("d", F.col("x") - F.lag("x").over(w))
+    sums = rows.groupBy("track", "hop").agg(F.count("*").alias("n"), F.avg(F.col("x") * F.col("x")).alias("e"), F.avg(F.col("d") * F.col("d")).alias("h"))
+    return sums.where(F.col("n") == hop).select("track", "hop", F.log1p("e").alias("energy"), F.log1p("h").alias("high"))
+
+
+def low_energy(samples: DataFrame, alpha: float) -> DataFrame:
+    """(track, rms, low_rms, ratio) of arrays (track, x): the root mean square, that of a one-pole low-pass of it, and their ratio, 0 to 4."""
+    x = F.col("x")
+    low = F.aggregate(x, F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("s")), lambda a, v: F.struct((a["y"] + (v - a["y"]) * alpha).alias("y"), (a["s"] + (a["y"] + (v - a["y"]) * alpha) * (a["y"] + (v - a["y"]) * alpha)).alias("s")))
+    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+    rows = samples.where(F.size("x") > 0).select("track", F.sqrt(total / F.size("x")).alias("rms"), F.sqrt(low["s"] / F.size("x")).alias("low_rms"))
+    return rows.withColumn("ratio", F.when(F.col("rms") > 0, F.least(F.lit(4.0), F.greatest(F.lit(0.0), F.col("low_rms") / F.nullif("rms", F.lit(0.0))))).otherwise(0.0))
+
+
+def phase_offset(peaks: DataFrame, period: Column) -> DataFrame:
+    """(track, period, offset): the weighted circular mean of where peaks (track, place, weight) stand in a period; 0 without weight."""
+    angle = F.pmod(F.col("place").cast("double"), period) / period * (2 * math.pi)
+    w = F.greatest(F.col("weight"), F.lit(0.0))
+    sums = peaks.groupBy("track", period.alias("period")).agg(F.sum(w * F.sin(angle)).alias("s"), F.sum(w * F.cos(angle)).alias("c"), F.sum(w).alias("w"))
+    mean = F.atan2("s", "c")
+    turn = F.when(mean < 0, mean + 2 * math.pi).otherwise(mean) / (2 * math.pi)
+    return sums.select("track", "period", F.when(F.col("w") > 0, turn * F.col("period")).otherwise(0.0).alias("offset"))
+
+
+def separated(points: DataFrame, keep: int = 3, apart: float = 0.20) -> DataFrame:
+    """(track, rate, score, place): the best points (track, rate, score) of a scan, in the scan's order of rates, that stand apart."""
+    good = points.where(positive(F.col("rate"))).select("track", "rate", "score")
+    return folds.folded(good, ["track"], ["rate"], lambda: folds.Separated(keep, apart), "rate double, score double, place int")
 
-    def add(acc: Column, x: Column) -> Column:
-        place = F.coalesce(F.array_position(F.transform(acc, lambda a: F.abs(a["c"] - x) <= tolerance), True), F.lit(0).cast("long"))
-        moved = F.transform(acc, lambda a, i: F.when(i + 1 == place, F.struct(((a["c"] * a["n"] + x) / (a["n"] + 1)).alias("c"), (a["n"] + 1).alias("n"))).otherwise(a))
-        return F.when(place == 0, F.concat(acc, F.array(F.struct(x.alias("c"), F.lit(1).cast("long").alias("n"))))).otherwise(moved)
 
-    folded = F.aggregate(F.sort_array(F.collect_list(F.col("x").cast("double"))), F.array().cast(kind), add)
-    rows = values.groupBy("track").agg(folded.alias("f")).select("track", F.inline("f"))
-    order = Window.partitionBy("track").orderBy(F.desc("n"), "c")
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).select("track", F.col("c").alias("centre"), "n")
+def best_three(points: DataFrame) -> DataFrame:
+    """(track, rate, score, place): the three best points of each track; each task keeps three of a track before it passes them on."""
+    w = Window.partitionBy("track").orderBy(F.desc("score"), "rate")
+    return points.select("track", "rate", "score").withColumn("place", F.row_number().over(w)).where("place <= 3")

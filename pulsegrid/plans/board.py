@@ -72,20 +72,16 @@ def nearest_target(spark, d):  # noqa: ANN001, ANN201
     return _round(board.nearest(_full(spark, d), F.lit(128.0)), distance=6)
 
 
-def _decisions(spark, d):  # noqa: ANN001, ANN202
-    full = _full(spark, d)
-    first = board.best_first(board.route_independent(_collapsed(spark, d)), "measured").where("rank = 1").select("track", "rate")
-    current = full.join(first, ["track", "rate"]).select("track", F.col("rate").alias("current_rate"), F.col("local").alias("current_local"), F.col("support").alias("current_support"), F.col("base").alias("current_base"))
-    return full, board.policy(full, current)
+def _decided(spark, d):  # noqa: ANN001, ANN202
+    return board.policy(board.with_current(board.full_board(board.route_independent(_collapsed(spark, d)))))
 
 
 def policy_decision(spark, d):  # noqa: ANN001, ANN201
-    return _round(_decisions(spark, d)[1], margin=9)
+    return _round(_decided(spark, d).drop("rates"), margin=9)
 
 
 def witness_semi_join(spark, d):  # noqa: ANN001, ANN201
-    full, decided = _decisions(spark, d)
-    return board.witness_guard(decided, full).select("track", "reason", "output_rate", "would_write", "witnessed")
+    return board.witness_guard(_decided(spark, d)).select("track", "reason", "output_rate", "would_write", "witnessed")
 
 
 def review_candidates(spark, d):  # noqa: ANN001, ANN201
@@ -127,7 +123,7 @@ _MEASURED = """ms AS (SELECT *, round(support * 0.34::DOUBLE + winner_support *
 mr AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY measured DESC, support DESC, winner_support DESC, rate) AS rank FROM ms)"""
 _RATIO = lambda v, r: f"(CASE WHEN {r} > 0 THEN {v} / {r} WHEN {v} > 0 THEN 'Infinity'::DOUBLE ELSE 1 END)"
 DECIDED = f"""{FULL}, {_MEASURED},
-cur AS (SELECT fb.track, fb.rate AS c_rate, fb.local AS c_local, fb.support AS c_support, fb.base AS c_base FROM fb JOIN mr ON fb.track = mr.track AND fb.rate = mr.rate WHERE mr.rank = 1),
+cur AS (SELECT fb.track, fb.rate AS c_rate, fb.local AS c_local, fb.support AS c_support, fb.base AS c_base, fb.bits AS c_bits FROM fb JOIN mr ON fb.track = mr.track AND fb.rate = mr.rate WHERE mr.rank = 1),
 two AS (SELECT track, max(CASE WHEN rank = 1 THEN base END) - coalesce(max(CASE WHEN rank = 2 THEN base END), 0) AS margin FROM
   (SELECT *, row_number() OVER (PARTITION BY track ORDER BY base DESC, support DESC, winner_support DESC, rate) AS rank FROM fb0) GROUP BY track),
 win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY base DESC, support DESC, winner_support DESC, rate) AS r FROM fb0) WHERE r = 1),
@@ -135,11 +131,15 @@ con AS (SELECT track, rate AS conflict_rate FROM (SELECT fb.track, fb.rate, row_
   round({_RATIO('fb.base', 'c_base')}, 9) DESC, fb.support DESC, fb.rate) AS n FROM fb JOIN cur USING (track) WHERE c_rate >= 80 AND abs(c_rate - 130) >= 15 AND abs(fb.rate - c_rate) >= 15 AND fb.support >= 0.6
   AND {_RATIO('fb.local', 'c_local')} >= 0.7 AND {_RATIO('fb.base', 'c_base')} >= 0.8 AND abs(c_rate - 130) - abs(fb.rate - 130) >= 10) WHERE n = 1),
 gate AS (SELECT track, win.rate AS winner_rate, margin, c_rate AS current_rate, conflict_rate, CASE WHEN c_rate < 40 AND support >= 0.8 AND local >= 0.25 THEN 'out_of_rail_release'
-  WHEN abs(win.rate - c_rate) > 1 AND bits & {B('equivalent')} <> 0 AND support >= 0.9 AND margin >= 0.35 AND ({_RATIO('local', 'c_local')} >= 1.2 OR {_RATIO('support', 'c_support')} >= 1.2) THEN 'dominant_direct_release'
+  WHEN win.rate / c_rate BETWEEN 1.3::DOUBLE AND 1.35::DOUBLE AND bits & {B('equivalent')} <> 0 AND bits & {B('three_quarters')} <> 0 AND support >= 0.8 AND local >= 0.28 AND margin >= 0.35 AND ({_RATIO('local', 'c_local')} >= 1.5 OR {_RATIO('support', 'c_support')} >= 1.2) THEN 'four_thirds_release'
+  WHEN abs(win.rate - c_rate) > 1 AND bits & {B('equivalent')} <> 0 AND support >= 0.9 AND local >= 0.35 AND margin >= 0.35 AND ({_RATIO('local', 'c_local')} >= 1.2 OR {_RATIO('support', 'c_support')} >= 1.2) THEN 'dominant_direct_release'
+  WHEN abs(win.rate - c_rate) > 15 AND bits & {B('equivalent')} <> 0 AND support >= 0.9 AND local >= 0.25 AND margin >= 0.2 AND abs(greatest(win.rate, c_rate) / least(win.rate, c_rate) - 1.5::DOUBLE) <= 0.03 THEN CASE WHEN win.rate > c_rate THEN 'dominant_family_release' ELSE 'three_halves_conflict_hold' END
+  WHEN margin BETWEEN 0 AND 0.1 AND c_support <= 0.15 AND support >= 0.5 AND abs(win.rate - c_rate) >= 15 AND {_RATIO('local', 'c_local')} >= 1.2 AND {_RATIO('support', 'c_support')} >= 3 AND bits & {B('two_thirds')} <> 0 AND bits & {B('three_halves')} <> 0 AND c_bits & {B('equivalent')} <> 0
+    AND c_bits & {relations.mask('three_quarters', 'four_thirds')} <> 0 THEN 'broad_conflict_hold'
   WHEN conflict_rate IS NOT NULL THEN 'family_conflict_hold'
   WHEN abs(win.rate - c_rate) BETWEEN 0.05 AND 3.0 AND support >= 0.4 AND {_RATIO('local', 'c_local')} >= 1.2 AND {_RATIO('support', 'c_support')} >= 0.45 THEN 'micro_upgrade' ELSE 'keep_current' END AS reason
   FROM win JOIN two USING (track) JOIN cur USING (track) LEFT JOIN con USING (track)),
-dec AS (SELECT *, CASE reason WHEN 'family_conflict_hold' THEN 0 WHEN 'keep_current' THEN current_rate ELSE winner_rate END AS output_rate, reason <> 'family_conflict_hold' AS would_write FROM gate)"""
+dec AS (SELECT *, CASE WHEN reason LIKE '%hold' THEN 0 WHEN reason = 'keep_current' THEN current_rate ELSE winner_rate END AS output_rate, reason NOT LIKE '%hold' AS would_write FROM gate)"""
 
 QUERIES = {f.__name__: f for f in (board_raw, board_collapse, board_winner, full_board, lane_classify, conservative_select, route_independent, alias_bucket_support, harmonic_partner, nearest_target, policy_decision, witness_semi_join, review_candidates, confidence)}
 ORACLE = {

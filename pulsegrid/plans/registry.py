@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import board, evidence, hypotheses, routing, series, signals
+from pulsegrid.plans import board, catalogue, evidence, families, hypotheses, routing, selectors, series, signals
 
-_MODULES = (board, series, hypotheses, routing, evidence, signals)
+_MODULES = (board, catalogue, families, selectors, series, hypotheses, routing, evidence, signals)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

@@ -140,6 +140,14 @@ sc AS (SELECT track, centre, rate, round(0.5::DOUBLE * sqrt(c1 * c1 + s1 * s1) /
 
 
 _CASES = " ".join(f"WHEN gap_s <= {b} THEN {k}" for k, b in enumerate(BOUNDS))
+def fold_sql(rows: str, order: str, first: str, step: str) -> str:
+    """A fold as a recursive query over a track's numbered rows; first: the state at the first row, step: the state after another."""
+    return f"""src AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY {order}) AS n FROM ({rows})), go AS (SELECT track, 1::BIGINT AS n, {first} FROM src WHERE n = 1 UNION ALL
+SELECT go.track, src.n, {step} FROM go JOIN src ON go.track = src.track AND src.n = go.n + 1)"""
+
+
+_SPACED = fold_sql(f"SELECT track, us / 1e6::DOUBLE AS x, value AS w FROM ({ONSETS})", "x, w", "x AS t, w AS weight, 1 AS g", "CASE WHEN x - t >= 43200 OR w > weight THEN x ELSE t END, CASE WHEN x - t >= 43200 OR w > weight THEN w ELSE weight END, g + (x - t >= 43200)::INT")
+_CLUSTERS = fold_sql(f"SELECT track, value AS x FROM ({ONSETS})", "x", "x AS c, 1::BIGINT AS k, 1 AS g", "CASE WHEN abs(x - c) <= 0.5 THEN (c * k + x) / (k + 1) ELSE x END, CASE WHEN abs(x - c) <= 0.5 THEN k + 1 ELSE 1 END, g + (abs(x - c) > 0.5)::INT")
 QUERIES = {
     f.__name__: f
     for f in (
@@ -148,6 +156,8 @@ QUERIES = {
     )
 }
 ORACLE = {
+    "peak_spacing": f"WITH RECURSIVE {_SPACED} SELECT track, t, weight FROM (SELECT *, row_number() OVER (PARTITION BY track, g ORDER BY n DESC) AS last FROM go) WHERE last = 1",
+    "cluster_fold": f"WITH RECURSIVE {_CLUSTERS} SELECT track, round(c, 6) AS centre, k AS n FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY k DESC, c) AS place FROM (SELECT *, row_number() OVER (PARTITION BY track, g ORDER BY n DESC) AS last FROM go) WHERE last = 1) WHERE place <= 3",
     "window_plan": f"WITH {PLAN} SELECT track, segment_index, round(start_s, 6) AS start_s, round(duration_s, 6) AS duration_s FROM pl",
     "window_coverage": f"""WITH {PLAN}, b AS (SELECT *, max(start_s + duration_s) OVER (PARTITION BY track ORDER BY start_s, segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pl),
       s AS (SELECT track, count(*) AS passes, count(DISTINCT round(start_s, 6)) AS distinct_starts, sum(duration_s) AS processed_s, sum(greatest(0, start_s + duration_s - greatest(start_s, coalesce(before, start_s)))) AS unique_s FROM b GROUP BY track)

@@ -40,7 +40,13 @@ def onset_gate(spark, d):  # noqa: ANN001, ANN201
 
 
 def segment_evaluate(spark, d):  # noqa: ANN001, ANN201
-    return dsp.evaluate_windows(inputs.table(spark, d, "embeddings"), "vec_id", "embedding", 8.0, [16, 24, 32])
+    return dsp.evaluate_curves(inputs.table(spark, d, "embeddings"), "vec_id", "embedding", 8.0)
+
+
+def sample_evaluate(spark, d):  # noqa: ANN001, ANN201
+    one = F.struct("vec_id", "embedding")
+    group = inputs.table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 32).alias("window")).agg(F.array_sort(F.collect_list(one)).alias("v"))  # 32 vectors at most
+    return dsp.evaluate_windows(group.select("window", F.flatten("v.embedding").alias("x")), "window", "x", 256.0)
 
 
 def stream_sliding(spark, d):  # noqa: ANN001, ANN201
@@ -62,7 +68,7 @@ def stream_spacing(spark, d):  # noqa: ANN001, ANN201
 _X = "list_transform(embedding, lambda v: v::DOUBLE)"
 _V = f"v AS (SELECT vec_id, label, {_X} AS x FROM embeddings)"
 _W = [0.75, 0.75]
-QUERIES = {f.__name__: f for f in (circular_autocorr, circular_peaks, smoothed_curve, spectral_novelty, onset_gate, segment_evaluate, stream_sliding, stream_session, stream_spacing)}
+QUERIES = {f.__name__: f for f in (circular_autocorr, circular_peaks, smoothed_curve, spectral_novelty, onset_gate, segment_evaluate, sample_evaluate, stream_sliding, stream_session, stream_spacing)}
 ORACLE = {
     "circular_autocorr": f"""WITH {_V}, e AS (SELECT vec_id, i - 1 AS i, x[i] AS a, len(x) AS n FROM v, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(x)), k AS (SELECT unnest(range(0, 33)) AS lag),
       r AS (SELECT a.vec_id, lag, sum(a.a * b.a) AS r FROM e a, k JOIN e b ON b.vec_id = a.vec_id AND b.i = (a.i + lag) % a.n GROUP BY 1, 2) SELECT vec_id, lag::INT AS lag, round(CASE WHEN max(CASE WHEN lag = 0 THEN r END) OVER (PARTITION BY vec_id) > 0 THEN r / max(CASE WHEN lag = 0 THEN r END) OVER (PARTITION BY vec_id) ELSE 0 END, 5) + 0.0::DOUBLE AS r FROM r""",

@@ -83,15 +83,42 @@ def test_a_steady_pulse_is_found(spark):
 
 
 def test_window_fit():
-    x = np.zeros(64)
-    x[::8] = 1.0
-    assert dsp.window_fit(x, 8.0, [8, 11])[:2] == ("fit", 8)
-    assert dsp.window_fit(np.zeros(4), 8.0, [8])[0] == "insufficient_odf"
-    assert dsp.window_fit(np.zeros(64), 8.0, [8])[0] == "insufficient_onsets"
+    x = np.zeros(512)
+    x[::32] = 1.0  # sixteen pulses in eight seconds: 120 a minute
+    reason, tatums, error, rate, meter, score = dsp.window_fit(x, 64.0, 8.0)
+    assert reason == "fit" and tatums % 16 == 0 and error == 0 and rate in (60, 90, 120, 180, 150) and meter and score > 0
+    none = (0, 1.0, 0.0, "", 0.0)
+    assert dsp.window_fit(np.zeros(4), 64.0, 8.0) == ("insufficient_odf", *none)
+    assert dsp.window_fit(np.zeros(64), 64.0, 8.0) == ("insufficient_onsets", *none)
     one = np.zeros(64)
     one[[5, 20, 40]] = [9.0, 0.01, 0.01]
-    assert dsp.window_fit(one, 8.0, [8])[0] == "single_event"
-    assert dsp.window_fit(x, 8.0, [])[0] == "no_loop_hypotheses"
+    assert dsp.window_fit(one, 64.0, 8.0) == ("single_event", *none)
+    assert dsp.window_fit(x, 64.0, 0.1)[0] == "no_loop_hypotheses"
+
+
+def test_onset_lag():
+    x = np.zeros(40)
+    x[[3, 13, 23, 33]] = 1.0
+    assert dsp.onset_lag(x, 4) == 3
+    assert dsp.onset_lag(np.arange(10.0), 1) == 9
+    assert dsp.onset_lag(np.arange(10.0)[::-1], 1) == 0
+
+
+def test_clicks_in_samples(spark):
+    """Clicks at 120 a minute in eight seconds of samples are found as tatums of that rate; windows that can't be read say why."""
+    rate, rng = 4096, np.random.default_rng(1)
+    x = rng.standard_normal(8 * rate) * 1e-4
+    for at in range(0, len(x), rate // 2):
+        x[at : at + 40] += np.hanning(40) * np.sin(np.arange(40))
+    rows = [(1, x.tolist()), (2, [0.0] * 100), (3, None), (4, [0.0] * 4096), (5, [float("nan")] * 2048)]
+    got = {r["k"]: r for r in dsp.evaluate_windows(spark.createDataFrame(rows, "k long, x array<double>"), "k", "x", float(rate)).collect()}
+    assert got[1]["reason"] == "fit" and got[1]["num_tatums"] % 16 == 0
+    assert [got[k]["reason"] for k in (2, 3, 4, 5)] == ["invalid_input", "invalid_input", "insufficient_onsets", "invalid_input"]
+
+
+def test_circular_frames():
+    f = dsp.circular_frames(np.arange(16.0), 6, 4)
+    assert f.shape == (4, 6) and f[0].tolist() == [14, 15, 0, 1, 2, 3] and f[-1].tolist() == [10, 11, 12, 13, 14, 15]
 
 
 def test_autocorrelation_of_odd_rows(spark):
