@@ -37,17 +37,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _wide(line: Column) -> Column:
-    """Four bytes for each character, so that a window is found without a search."""
-    return F.encode(line, "UTF-32")
+    """Two bytes for each character (two characters for one outside the basic plane), so that a window is found without a search."""
+    return F.encode(line, "UTF-16BE")
 
 
 def _last(wide: Column) -> Column:
     """The number of the last window, from 0."""
-    return F.greatest((F.octet_length(wide) / 4).cast("int") - WINDOW, F.lit(0))
+    return F.greatest((F.octet_length(wide) / 2).cast("int") - WINDOW, F.lit(0))
 
 
 def _window(wide: Column, i: Column) -> Column:
-    return F.call_function("substring", wide, i * 4 + 1, F.lit(4 * WINDOW))
+    return F.call_function("substring", wide, i * 2 + 1, F.lit(2 * WINDOW))
 
 
 def shingles(line: Column) -> Column:
@@ -56,18 +56,16 @@ def shingles(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, n, m0, m1, ...) for each distinct line: how often it stands and its signature. lines: id, other, line.
+    """(id, n, m0, m1, ...) for each distinct line: how often it stands and its signature. lines: id, line.
 
-    Ids that two texts have (their second hashes, other, differ) are left out: such lines are never taken for equal or similar.
     The windows are rows, STEP to a row, only within a task: their minima are combined there, and a row for each line and task is shuffled.
     """
-    wide = lines.select("id", "other", _wide(F.col("line")).alias("w")).withColumn("last", _last(F.col("w")))
-    runs = wide.select("id", "other", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    wide = lines.select("id", _wide(F.col("line")).alias("w")).withColumn("last", _last(F.col("w")))
+    runs = wide.select("id", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
     hashes = [F.hash(_window(F.col("w"), F.least(F.col("i") + j, F.col("last")))).alias(f"h{j}") for j in range(STEP)]
     points = [(k << 32) // SIGNATURE - (1 << 31) for k in range(SIGNATURE)]
     least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(p)) for j in range(STEP)])).alias(f"m{k}") for k, p in enumerate(points)]
-    out = runs.select("id", "other", "i", *hashes).groupBy("id").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), *least)
-    return out.where("lo = hi").drop("lo", "hi")
+    return runs.select("id", "i", *hashes).groupBy("id").agg(F.count_if(F.col("i") == 0).alias("n"), *least)
 
 
 def with_nodes(signed: DataFrame) -> DataFrame:
@@ -153,6 +151,7 @@ def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[
     own = F.when(~F.col("linked"), F.floor(r * F.col("nb") * (1 + 1 / threshold) + 1e-6) + 1)
     other = F.greatest(F.col("all") - F.ceil((F.col("all") + r * (F.col("na") - F.col("nb"))) / 2 - 1e-6) + 1, F.lit(1))
     parts = parts.where("c > 1").select("pivot", "b", "linked", F.col("nb").alias("size"), "all", own.alias("own"), other.alias("other"), "c", "s", "w", "at")
+    parts = parts.where(F.col("at") < F.greatest(F.coalesce("own", F.lit(0)), "other"))
     return stage(parts, "line-differences", terms_path)
 
 
@@ -184,15 +183,18 @@ def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     Lines of one id count as equal where a second hash agrees; else none of them is listed.
     """
     own = lines_of(docs).select("doc_id", "th", "n", F.shiftrightunsigned(F.xxhash64("line"), 64 - _ID_BITS).alias("id"), F.hash("line").alias("other"), "line")
-    own, own_path = stage(own, "lines", compression="zstd")
-    signed, signed_path = stage(signatures(own.select("id", "other", "line")), "line-signatures")
+    own, own_path = stage(own, "lines")
+    signed, signed_path = stage(signatures(own.select("id", "line")), "line-signatures")
     signed = with_nodes(signed)
     found, found_path = links(band_keys(signed), own.select("id", "line"), threshold)
     named = components(found, name="line-components")
     drop(found.sparkSession, found_path)
     again = signed.where("n > 1").select("node").join(named, "node", "full").select(id_of(F.col("node")).alias("id"), F.coalesce("component", "node").alias("component_id"))
-    places = own.select("doc_id", "th", "n", "id").join(again, "id")
-    places, _ = stage(places.select("doc_id", "th", "n", F.col("id").alias("line_id"), "component_id"), "line-places", own_path, signed_path)
+    places = own.select("doc_id", "th", "n", "id", "other").join(again, "id")
+    places, _ = stage(places.select("doc_id", "th", "n", F.col("id").alias("line_id"), "other", "component_id"), "line-places", own_path, signed_path)
+    # an id that two texts have is neither's
+    shared = places.groupBy("line_id").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo < hi").select("line_id")
+    places = places.join(shared, "line_id", "left_anti")
     place = F.struct("doc_id", "th", "n")
     first = places.groupBy("component_id").agg(F.min(place).alias("first"))
     return places.join(first, "component_id").select("doc_id", "th", "n", "line_id", "component_id", (place == F.col("first")).alias("kept"))

@@ -392,7 +392,7 @@ def test_op7_crowd(spark, edits):
         lines.append(own)
     texts = [(k, " ".join(x)) for k, x in enumerate(lines)]
     rows, _, pairs = line_groups(texts)
-    signed = line_dedup.signatures(spark.createDataFrame([(k, 0, x) for k, x in texts], "id long, other int, line string"))
+    signed = line_dedup.signatures(spark.createDataFrame(texts, "id long, line string"))
     values = {r["id"]: [r[f"m{i}"] for i in range(line_dedup.SIGNATURE)] for r in signed.collect()}
     share = [(a, b) for a, b in pairs if any(all(values[a][i] == values[b][i] for i in band) for band in line_dedup.BANDS)]
     assert len(share) >= 0.97 * len(pairs)
