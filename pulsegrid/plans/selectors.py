@@ -20,7 +20,7 @@ def _board(spark, d):  # noqa: ANN001, ANN202
 
 
 def selector_scores(spark, d):  # noqa: ANN001, ANN201
-    return selectors.scored(_board(spark, d), raw(spark, d)).select("track", "rate", "lane", *[(F.round(c, 6) + 0.0).alias(c) for c in ("cluster", "harmonic", "soft", "proof")])
+    return selectors.scored(_board(spark, d), raw(spark, d)).select("track", "rate", "lane", *[(F.col(c) + 0.0).alias(c) for c in ("cluster", "harmonic", "soft", "proof")])
 
 
 def primary_select(spark, d):  # noqa: ANN001, ANN201
@@ -57,7 +57,7 @@ s AS (SELECT * FROM (SELECT c.track, c.rate, row_number() OVER (PARTITION BY c.t
 fin AS (SELECT w.track, CASE WHEN f.rate IS NOT NULL THEN 'rescue_128' WHEN s.rate IS NOT NULL THEN 'rescue_two_thirds' ELSE w.selector END AS selector, coalesce(f.rate, s.rate, w.rate) AS rate FROM w LEFT JOIN f USING (track) LEFT JOIN s USING (track))"""
 QUERIES = {f.__name__: f for f in (selector_scores, primary_select, soft_centre, slow_rescue)}
 ORACLE = {
-    "selector_scores": f"WITH {_MERGED} SELECT track, rate, lane, round(cluster, 6) + 0.0::DOUBLE AS cluster, round(harmonic, 6) + 0.0::DOUBLE AS harmonic, round(soft, 6) + 0.0::DOUBLE AS soft, round(proof, 6) + 0.0::DOUBLE AS proof FROM ms",
+    "selector_scores": f"WITH {_MERGED} SELECT track, rate, lane, cluster + 0.0::DOUBLE AS cluster, harmonic + 0.0::DOUBLE AS harmonic, soft + 0.0::DOUBLE AS soft, proof + 0.0::DOUBLE AS proof FROM ms",
     "primary_select": f"""WITH {_PRIMARY} SELECT fin.track, ms.lane, fin.selector, fin.rate, bits, ms.lane = 'general' AND fin.rate BETWEEN 143 AND 145 AND bits & {_E} <> 0 AND bits & {M('four_thirds', 'three_halves')} <> 0 AND support BETWEEN 0.45 AND 0.75 AND winner_support <= 0.12
       AND best_score <= 0.08 AND pulse <= 0.05 AND section <= 0.05 AND continuous <= 0.05 AS hold FROM fin JOIN ms ON ms.track = fin.track AND ms.rate = fin.rate""",
     "soft_centre": f"""WITH {_MERGED}, e AS (SELECT *, round(support * 0.34::DOUBLE + winner_support * 0.24::DOUBLE + best_score * 0.14::DOUBLE + pulse * 0.13::DOUBLE + section * 0.1::DOUBLE + continuous * 0.03::DOUBLE + 0.02::DOUBLE * coalesce(least(1, greatest(0, score_sum / nullif(max(score_sum) OVER (PARTITION BY track), 0))), 0), 9) AS measured FROM mb),
