@@ -46,7 +46,7 @@ def _field(s: str, at: int, pattern: re.Pattern, end: str) -> tuple[str, int]:
     for m in pattern.finditer(s, at):
         if m[1] is None:
             if not s.startswith(end, m.start()):
-                raise NotInGrammar(f"{m[0]!r} stands bare at {m.start()}")
+                raise (_Open if end.startswith(s[m.start() :]) else NotInGrammar)(f"{m[0]!r} stands bare at {m.start()}")
             parts.append(s[begin : m.start()])
             return "".join(parts), m.start()
         parts.append(s[begin : m.start()])
