@@ -65,7 +65,7 @@ class Families:
         self.tolerance, self.all = tolerance, []
 
     def add(self, _order, rate: float, score: float, candidate: bool) -> list:  # noqa: ANN001
-        if not (rate > 0 and score > 0):
+        if rate is None or score is None or not (rate > 0 and score > 0):
             return []
         near = min((f for f in self.all if abs(f[0] - rate) <= self.tolerance), key=lambda f: abs(f[0] - rate), default=None)
         if near is None:

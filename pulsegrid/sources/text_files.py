@@ -49,7 +49,7 @@ def file_snapshot(spark: SparkSession, path: str, salt: str = "") -> DataFrame:
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.rstrip("/").split("://")[-1].rstrip("/")
-    below = F.substring_index("path", F.lit(root).cast("string"), -1) if root else F.col("path")
+    below = F.substring_index("path", root, -1)
     out = rows.select("path", F.sha2(F.concat(F.lit(salt), below), 256).alias("id"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
     if outside := out.where(~F.col("path").contains(root)).limit(1).count():
         raise ValueError(f"{outside} file is outside {path}")

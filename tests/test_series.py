@@ -170,6 +170,54 @@ def test_files(spark, tmp_path):
     assert text_files.file_snapshot(spark, str(tmp_path / "o.csv")).first()["bytes"] == len("index,bpm,held\n0,119.9,0\n")
 
 
+def test_manifest_and_observations_fail_closed(spark, tmp_path):
+    case = '{"id": "%s", "reference_bpm": 120.0, "style": "s", "duration_sec": 8, "sample_rate": 100, "event_sample_positions": [0, 50]}'
+    whole = '{"schema": "%s", "cases": [%s]}'
+    good = whole % (text_files.MANIFEST_SCHEMA, ", ".join(case % x for x in "ab"))
+    for name, text in (("good", good), ("version", good.replace("_v1", "_v2")), ("twice", whole % (text_files.MANIFEST_SCHEMA, ", ".join(case % x for x in "aa")))):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert [(r["ordinal"], r["id"]) for r in text_files.manifest(spark, str(tmp_path / "good.json")).collect()] == [(0, "a"), (1, "b")]
+    for name in ("version", "twice"):
+        with pytest.raises(ValueError, match="manifest"):
+            text_files.manifest(spark, str(tmp_path / f"{name}.json"))
+    for i, rows in enumerate(("0,1.0,2", "0,1.0,0\n0,2.0,0", "0,1.0,0\n2,2.0,0")):
+        (tmp_path / f"{i}.csv").write_text(f"index,bpm,held\n{rows}\n")
+        with pytest.raises(ValueError, match="numbered"):
+            text_files.observations(spark, str(tmp_path / f"{i}.csv"))
+
+
+def test_snapshot_changes(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    before = spark.createDataFrame(text_files.file_snapshot(spark, str(tmp_path), "salt").collect())
+    (tmp_path / "a").write_text("changed")
+    (tmp_path / "b").unlink()
+    (tmp_path / "d").write_text("d")
+    after = text_files.file_snapshot(spark, str(tmp_path), "salt")
+    assert sorted(r["change"] for r in text_files.snapshot_changes(before, after).collect()) == ["added", "content", "removed"]
+    assert before.first()["id"] != text_files.file_snapshot(spark, str(tmp_path), "other").first()["id"]
+
+
+def test_folds_over_partitions(spark):
+    """A fold sees each track whole and in order, however its rows were dealt out, and a long track streams through."""
+    from pulsegrid.operators import families, folds
+
+    rows = spark.range(0, 50_000).selectExpr("id % 3 as track", "id as t", "cast(id % 7 as double) as weight").repartition(13)
+    got = folds.folded(rows, ["track"], ["t"], lambda: folds.Spaced(30), "t long, weight double")
+    for track in range(3):
+        kept, last = [], None
+        for i in range(track, 50_000, 3):
+            if last is None or i - last[0] >= 30:
+                kept += [last] if last else []
+                last = (i, i % 7)
+            elif i % 7 > last[1]:
+                last = (i, i % 7)
+        assert [tuple(r) for r in got.where(f"track = {track}").orderBy("t").select("t", "weight").collect()] == [*kept, last]
+    odd = spark.createDataFrame([(1, 1, None, 1.0, True), (1, 2, 100.0, 1.0, True), (1, 3, 101.0, 3.0, False)], "track long, segment int, rate double, score double, winner boolean")
+    first = families.families(odd.where("rate is not null")).first()
+    assert (first["rate"], first["support"], first["candidate_support"], first["best_rate"]) == (100.75, 2, 1, 101.0)
+
+
 def test_empty_board(spark):
     rows = spark.createDataFrame([], "track long, segment int, rate double, score double, quant double, winner boolean")
     assert board.full_board(board.collapse(board.raw_board(rows))).count() == 0
