@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import dsp
+from pulsegrid.plans.series import fold_sql
 from pulsegrid.sources import inputs
+from pulsegrid.sources.inputs import ONSETS
 from pulsegrid.streaming import windows
 
 
@@ -62,14 +64,20 @@ def stream_session(spark, d):  # noqa: ANN001, ANN201
 
 
 def stream_spacing(spark, d):  # noqa: ANN001, ANN201
-    return windows.run_once(windows.spaced(windows.event_stream(spark, d), 43_200.0), "append", "spaced")
+    zero = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))
+    out = windows.run_once(windows.spaced(windows.event_stream(spark, d), 43_200.0), "append", "spaced")
+    return out.select("track", (F.col("us") - zero).alias("us"), "value")
 
 
 _X = "list_transform(embedding, lambda v: v::DOUBLE)"
 _V = f"v AS (SELECT vec_id, label, {_X} AS x FROM embeddings)"
 _W = [0.75, 0.75]
+_KEPT = fold_sql(f"SELECT track, us AS u, value AS v FROM ({ONSETS})", "u, v", "u AS us, v AS value, TRUE AS kept", "CASE WHEN u - us >= 43200000000 THEN u ELSE us END, CASE WHEN u - us >= 43200000000 THEN v ELSE value END, u - us >= 43200000000")
 QUERIES = {f.__name__: f for f in (circular_autocorr, circular_peaks, smoothed_curve, spectral_novelty, onset_gate, segment_evaluate, sample_evaluate, stream_sliding, stream_session, stream_spacing)}
 ORACLE = {
+    "stream_spacing": f"WITH RECURSIVE {_KEPT} SELECT track, us, value FROM go WHERE kept",
+    "smoothed_curve": f"""WITH {_V}, m AS (SELECT vec_id, list_transform(range(0, len(x)), lambda i: greatest(0, x[i + 1] - 1.5::DOUBLE * list_sum(list_transform(range(0, 5), lambda k: x[(i + k - 2 + len(x)) % len(x) + 1] * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (k + 1) / 6)))) / 3.0::DOUBLE)) AS y FROM v)
+      SELECT vec_id, round(list_sum(y), 5) AS kept, len(list_filter(y, lambda v: v > 0)) AS places FROM m""",
     "circular_autocorr": f"""WITH {_V}, e AS (SELECT vec_id, i - 1 AS i, x[i] AS a, len(x) AS n FROM v, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(x)), k AS (SELECT unnest(range(0, 33)) AS lag),
       r AS (SELECT a.vec_id, lag, sum(a.a * b.a) AS r FROM e a, k JOIN e b ON b.vec_id = a.vec_id AND b.i = (a.i + lag) % a.n GROUP BY 1, 2) SELECT vec_id, lag::INT AS lag, round(CASE WHEN max(CASE WHEN lag = 0 THEN r END) OVER (PARTITION BY vec_id) > 0 THEN r / max(CASE WHEN lag = 0 THEN r END) OVER (PARTITION BY vec_id) ELSE 0 END, 5) + 0.0::DOUBLE AS r FROM r""",
     "circular_peaks": f"WITH {_V} SELECT vec_id, array_to_string(list_filter(range(0, len(x)), lambda i: x[(i - 1 + len(x)) % len(x) + 1] < x[i + 1] AND x[i + 1] > x[(i + 1) % len(x) + 1]), ',') AS peaks FROM v",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +16,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    """A new path in the folder that driver and executors share; in local mode one of our own where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,13 +42,17 @@ def sessions(stream: DataFrame, gap: str = "5 hours", late: str = "1 hour") -> D
     return w.agg(F.count("*").alias("taps")).select(F.col("user_id").alias("track"), F.col("w.start").alias("start"), "taps")
 
 
-def spaced(stream: DataFrame, spacing_s: float) -> DataFrame:
+def spaced(stream: DataFrame, spacing_s: float, late: str = "1 day") -> DataFrame:
     """(track, us, value): onsets of a stream at least spacing apart, by state: the last one passed on is remembered for each track.
 
-    Rows of a batch are taken in order of time; ones that come late, before the last passed on, are dropped.
+    Rows of a batch are taken in order of time; ones that come late, before the last passed on, are dropped. A track's state goes when the
+    watermark has left its last onset behind by the spacing: whatever comes then is far enough from it.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("us")
         out = []
@@ -53,19 +61,26 @@ def spaced(stream: DataFrame, spacing_s: float) -> DataFrame:
                 out.append((key[0], int(us), float(value)))
                 last = int(us)
         state.update((last,))
+        state.setTimeoutTimestamp(max(int(last / 1000 + spacing_s * 1000), state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame(out, columns=["track", "us", "value"])
 
-    rows = stream.select(F.col("user_id").alias("track"), F.unix_micros("at").alias("us"), "value")
-    return rows.groupBy("track").applyInPandasWithState(step, "track long, us long, value double", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark("at", late).select(F.col("user_id").alias("track"), F.unix_micros("at").alias("us"), "value", "at")
+    return rows.groupBy("track").applyInPandasWithState(step, "track long, us long, value double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(streamed: DataFrame, mode: str, name: str) -> DataFrame:
-    """Takes all there is from the stream, then stops; the result is a table in the shared folder."""
+    """Takes all there is from the stream, then stops; the result is a table in the shared folder.
+
+    Each batch has a folder of its own, which a batch that is tried again writes over; a complete result has only the last.
+    """
     spark = streamed.sparkSession
     out = shared_path(spark, name)
-    how = "overwrite" if mode == "complete" else "append"
     schema = streamed.schema
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={batch}")
+
     query = streamed.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", shared_path(spark, f"{name}-checkpoint"))
-    query.foreachBatch(lambda df, _: df.write.mode(how).parquet(out)).start().awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    query.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
