@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.operators import routing
 from pulsegrid.operators.routing import canonical
@@ -61,10 +63,13 @@ Dance; Electro; Club; Electronic; EDM = center 125.00, spread 20.00
 """.strip().split("\n")
 
 
-@F.pandas_udf("string")
-def composed(text):  # noqa: ANN001, ANN201
+def composed(text: Column | str) -> Column:
     """Unicode composition (NFC), for which there is no built-in function; null stays null."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(nfc, T.StringType())(text)
 
 
 def pattern_terms(rows: DataFrame) -> DataFrame:

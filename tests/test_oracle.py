@@ -44,3 +44,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql().keys() <= e.queries().keys()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], timeout=300).returncode == 0
