@@ -192,9 +192,10 @@ def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     again = signed.where("n > 1").select("node").join(named, "node", "full").select(id_of(F.col("node")).alias("id"), F.coalesce("component", "node").alias("component_id"))
     places = own.select("doc_id", "th", "n", "id", "other").join(again, "id")
     places, _ = stage(places.select("doc_id", "th", "n", F.col("id").alias("line_id"), "other", "component_id"), "line-places", own_path, signed_path)
-    # an id that two texts have is neither's
+    # an id that two texts have is neither's; hardly ever is there one, and then no line need be dealt out for it
     shared = places.groupBy("line_id").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo < hi").select("line_id")
-    places = places.join(shared, "line_id", "left_anti")
+    if not shared.isEmpty():
+        places = places.join(shared, "line_id", "left_anti")
     place = F.struct("doc_id", "th", "n")
     first = places.groupBy("component_id").agg(F.min(place).alias("first"))
     return places.join(first, "component_id").select("doc_id", "th", "n", "line_id", "component_id", (place == F.col("first")).alias("kept"))
