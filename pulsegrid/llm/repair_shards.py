@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.chunk_tokens import encoder, gather
 from pulsegrid.llm.common import shuffle_partitions, stage, texts
 
-MAGIC, BITS = b"RPS1", 16
+MAGIC, BITS = b"RPS1", 20
 #: Ids of a shard, rules made in a round, and how often a pair must stand in the shard to become one: a rule costs 8 bytes in the file
 #: and a pair replaced saves 2, so rules for rarer pairs gain little, while rounds go on and on.
 SHARD_IDS, RULES_A_ROUND, LEAST = 1 << 20, 3000, 12
@@ -33,50 +33,33 @@ _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 def frequent_pairs(s: np.ndarray, may: np.ndarray, mult: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys of the pairs to replace, most frequent first; the places of these pairs; the rank of the pair at each).
 
-    Places are counted in hash buckets, one pair to a bucket; a pair whose bucket another holds gets its turn in a later round, at
-    last in one that counts exactly.
+    Places are counted in hash buckets, one pair to a bucket; those of pairs whose bucket another holds are sorted and counted apart, so
+    all counts are exact. Overlapping places in a run of one symbol count each, so such a pair is rather replaced than left.
     """
     key = s[:-1].astype(np.uint32)
     key <<= np.uint32(16)
     key |= s[1:]
-    h = ((key * np.uint32(mult)) >> np.uint32(32 - BITS)).astype(np.uint16)
+    h = (key * np.uint32(mult)) >> np.uint32(32 - BITS)
     owner = np.zeros(1 << BITS, np.uint32)
     owner[h] = key
-    at = np.flatnonzero((owner[h] == key) & may)
-    h = h[at]
-    count = np.bincount(h, minlength=1 << BITS)
-    best = np.argsort(-count, kind="stable")[:most]
-    best = best[count[best] >= least]
-    rank = np.full(1 << BITS, -1, np.int32)
-    rank[best] = np.arange(len(best))
-    rank = rank[h]
-    hit = rank >= 0
-    return owner[best], at[hit], rank[hit]
-
-
-def all_frequent_pairs(s: np.ndarray, may: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Like frequent_pairs, with exact counts of all pairs. Places of a pair in a run of one symbol count half, as every other one can go."""
-    at = np.flatnonzero(may)
-    key = s[at].astype(np.uint32) << np.uint32(16) | s[at + 1]
-    ordered = np.sort(key)
-    begins = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] ^ np.uint32(1)))
-    keys, count = ordered[begins], np.diff(np.append(begins, len(ordered)))
-    same = (keys >> np.uint32(16)) == (keys & np.uint32(0xFFFF))
-    if same.any():
-        # in a run of n equal symbols that may pair, n // 2 pairs can go
-        run = (s[:-1] == s[1:]) & may
-        edge = np.flatnonzero(np.diff(run.astype(np.int8), prepend=0, append=0))
-        pairs = (edge[1::2] - edge[::2] + 1) // 2
-        of = np.searchsorted(keys, s[edge[::2]].astype(np.uint32) * np.uint32(0x10001))
-        exact = np.bincount(of, pairs, len(keys)).astype(np.int64)
-        count = np.where(same, exact, count)
-    best = np.argsort(-count, kind="stable")[:most]
-    best = best[count[best] >= least]
-    rank = np.full(len(keys), -1, np.int32)
-    rank[best] = np.arange(len(best))
-    rank = rank[np.searchsorted(keys, key)]
-    hit = rank >= 0
-    return keys[best], at[hit], rank[hit]
+    owns = owner[h] == key
+    own, rest = np.flatnonzero(owns & may), np.flatnonzero(~owns & may)
+    count = np.bincount(h[own], minlength=1 << BITS)
+    bucket = np.flatnonzero(count >= least)
+    others, times = np.unique(key[rest], return_counts=True)
+    other = np.flatnonzero(times >= least)
+    keys, counts = np.concatenate([owner[bucket], others[other]]), np.concatenate([count[bucket], times[other]])
+    best = np.argsort(-counts, kind="stable")[:most]
+    place = np.full(len(keys), -1, np.int32)
+    place[best] = np.arange(len(best))
+    of_bucket, of_other = np.full(1 << BITS, -1, np.int32), np.full(len(others), -1, np.int32)
+    of_bucket[bucket], of_other[other] = place[: len(bucket)], place[len(bucket) :]
+    rank = np.full(len(key), -1, np.int32)
+    rank[own] = of_bucket[h[own]]
+    if len(other):
+        rank[rest] = of_other[np.searchsorted(others, key[rest])]
+    at = np.flatnonzero(rank >= 0)
+    return keys[best], at, rank[at]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +78,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEA
         most = min(RULES_A_ROUND, (1 << 16) - made)
         keys, at, rank = frequent_pairs(s, ~last[:-1], _MULTIPLIERS[rounds % len(_MULTIPLIERS)], most, least)
         rounds += 1
-        if len(keys) < 64:
-            keys, at, rank = all_frequent_pairs(s, ~last[:-1], most, least)
         if not len(keys):
             break
         # of overlapping places in a run, every other one counts, from the left
