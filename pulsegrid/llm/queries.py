@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat_grammar, embedding_links, license_join, line_dedup, packing, quality, rare_features, repair_shards, simhash_links, viterbi_pieces
+from pulsegrid.llm import ball_clusters, byte_pairs, chat_grammar, embedding_links, license_join, line_dedup, packing, quality, rare_features, repair_shards, simhash_links, sql, viterbi_pieces
 from pulsegrid.llm.common import table
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_ball_clusters": sql.ball_clusters()}
 
 
 def op1_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,14 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.inertias(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_join": op1_license_join,
     "op2_token_shards": op2_token_shards,
@@ -75,4 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_grammar": op8_chat_grammar,
     "op9_simhash": op9_simhash,
     "op10_embedding_links": op10_embedding_links,
+    "op11_ball_clusters": op11_ball_clusters,
+    "op13_byte_pairs": op13_byte_pairs,
 }
