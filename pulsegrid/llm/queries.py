@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import ball_clusters, byte_pairs, chat_grammar, embedding_links, license_join, line_dedup, packing, quality, rare_features, repair_shards, simhash_links, sql, viterbi_pieces
+from pulsegrid.llm import ball_clusters, byte_pairs, chat_grammar, embedding_links, license_join, line_dedup, packing, quality, rare_features, repair_shards, simhash_links, sql, turn_repair, viterbi_pieces
 from pulsegrid.llm.common import table
 
-ORACLE: dict[str, str] = {"op11_ball_clusters": sql.ball_clusters()}
+ORACLE: dict[str, str] = {"op11_ball_clusters": sql.ball_clusters(), "op12_turn_repair": sql.turn_repair()}
 
 
 def op1_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_clusters.inertias(table(spark, sf_dir, "embeddings"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")), summary=True)
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -84,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_embedding_links": op10_embedding_links,
     "op11_ball_clusters": op11_ball_clusters,
+    "op12_turn_repair": op12_turn_repair,
     "op13_byte_pairs": op13_byte_pairs,
 }
