@@ -12,9 +12,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pulsegrid.llm.common import texts
 
 #: Pieces that go through at once, and entries of a worker's memories, which are emptied when full.
-RUN, REMEMBERED = 1 << 16, 1 << 19
+RUN, REMEMBERED = 1 << 16, 1 << 20
 #: Longest piece that is remembered, in characters.
 SHORT = 48
 _NEVER = 1 << 62
@@ -55,11 +56,12 @@ class Splitter:
             ranges = _ranges(theirs[sign]) if sign in theirs else sign
             own.append(f"[{ranges}]" if sign in theirs and not inside else ranges)
         self.plain, self.own = regex.compile(pattern), regex.compile("".join(own))
-        self.odd = regex.compile(f"[{_ranges(odd)}]") if odd else None
+        self.odd = np.zeros(0x110000, bool)
+        self.odd[[ord(c) for c in odd]] = True
 
     def runs(self, text: str) -> Iterator[list[str]]:
         """All matches in order, up to RUN at once. The plain pattern serves where no character is classed differently."""
-        by = self.own if self.odd and self.odd.search(text) else self.plain
+        by = self.own if not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any() else self.plain
         if len(text) <= RUN:
             yield by.findall(text)
             return
@@ -68,11 +70,28 @@ class Splitter:
             yield some
 
 
+class _Pieces(dict):
+    """The ids of pieces; those of short ones are remembered."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.merges.laid(piece.encode())
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Merges:
     """Encodes pieces by the ranks of a vocabulary that holds all single bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.spelling = ranks, {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.words = ahocorasick.Automaton()
         for b, i in ranks.items():
             self.words.add_word(b.decode("latin-1"), (len(b) - 1, i))
@@ -81,7 +100,8 @@ class Merges:
         self.spines: tuple[dict[int, list], dict[int, list]] = {}, {}
         self.shorter: dict[int, int | None] = {}
         self.together: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.pieces = _Pieces(self)
+        self.decimals = {i: str(i) for i in self.spelling}
 
     def parts_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token's own bytes joins; None for a byte, or where merges don't lead to the token."""
@@ -125,37 +145,34 @@ class Merges:
             self.shorter[token] = next((self.ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.ranks), None)
         return self.shorter[token]
 
-    def _laid(self, b: bytes) -> list[int]:
+    def laid(self, b: bytes) -> list[int]:
         if b in self.ranks:
             return [self.ranks[b]]
         longest = [0] * len(b)
         for end, (back, token) in self.words.iter(b.decode("latin-1")):
             longest[end - back] = token  # ends ascend, so the longest comes last
-        out: list[int] = []
-        dead, at, token = bytearray(len(b) + 1), 0, longest[0]
-        while at < len(b):
-            end = at + len(self.spelling[token])
-            if not dead[end] and (not out or self.apart(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < len(b) else token
-                continue
+        size, together, last = self.size, self.together, len(b)
+        dead = bytearray(last + 1)
+        out = [longest[0]]
+        at = size[longest[0]]
+        token = longest[at]
+        while at < last:
+            end = at + size[token]
+            if not dead[end]:
+                fits = together.get((out[-1], token)) if out else True
+                if fits or (fits is None and self.apart(out[-1], token)):
+                    out.append(token)
+                    at = end
+                    if at < last:
+                        token = longest[at]
+                    continue
             while (less := self.prefix(token)) is None:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.spelling[token])
+                at -= size[token]
             token = less
         return out
 
-    def piece(self, piece: str) -> list[int]:
-        if (ids := self.known.get(piece)) is None:
-            ids = self._laid(piece.encode())
-            if len(piece) <= SHORT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelling.__getitem__, ids))
 
@@ -175,7 +192,7 @@ def coder(path: str, pattern: str) -> tuple[Merges, Splitter]:
 def _ids(text: str, merges: Merges, splitter: Splitter) -> Iterator[list[int]]:
     """The ids of a text, a run of pieces at once."""
     for run in splitter.runs(text):
-        yield [i for piece in run for i in merges.piece(piece)]
+        yield list(chain.from_iterable(map(merges.pieces.__getitem__, run)))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -220,7 +237,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for i in range(batch.num_rows):
                 n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
                 for ids in _ids(batch.column(1)[i].as_py(), merges, splitter):
-                    ids_hash.update(("," * (n > 0 and len(ids) > 0) + ",".join(map(str, ids))).encode())
+                    ids_hash.update(("," * (n > 0 and len(ids) > 0) + ",".join(map(merges.decimals.__getitem__, ids))).encode())
                     bytes_hash.update(merges.decode(ids))
                     n += len(ids)
                 counts.append(n)
