@@ -4,7 +4,8 @@ Rows meet in compound cells of a few projections, so many and so often that a pa
 probability 0.99; the number of projections in a cell follows the logarithm of the row count, so cells keep their size as the data
 grow. What goes to the cells is a sketch of a vector, its further projections in a byte each. In a cell each of these is sorted; a window
 around each row as the centre collides with the rows in it, and collisions are counted for each pair. Only vectors in a pair
-whose count passes go to the cells themselves, where cosine in double precision decides.
+whose count passes go to the cells themselves, where the pairs that count again, the same ones, are those that cosine in double precision
+decides: a near group of n vectors would be n * n pairs to pass on, so rows pass on and not pairs.
 """
 
 from __future__ import annotations
@@ -109,30 +110,13 @@ def collisions(sketch: np.ndarray, group: np.ndarray, side: np.ndarray, across:
     return i[fit], j[fit]
 
 
-def pair_links(x: np.ndarray, group: np.ndarray, side: np.ndarray, across: np.ndarray, project: Projections, least: int, link: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of the same group with cosine >= link. side, across: where across is set, only rows of different sides are paired."""
-    values = x @ project.counted
-    order = np.lexsort((values[:, 0], group))
-    line = group[order] * 1e3 + values[order, 0]
-    ends = np.searchsorted(line, line + WINDOW, side="right")
-    number = ends - np.arange(len(line)) - 1
-    upto = np.cumsum(number)
-    at = 0
-    while at < len(line):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, side="right")))
-        n = number[at:to]
-        a = np.repeat(np.arange(at, to), n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        at = to
-        a, b = order[a], order[b]
-        fit = (group[a] == group[b]) & (~across[a] | (side[a] != side[b]))
-        a, b = a[fit], b[fit]
-        for lo in range(0, len(a), _PAIRS):
-            i, j = a[lo : lo + _PAIRS], b[lo : lo + _PAIRS]
-            hits = (np.abs(values[i] - values[j]) <= WINDOW).sum(axis=1)
-            i, j = i[hits >= least], j[hits >= least]
-            good = (x[i] * x[j]).sum(axis=1) >= link
-            yield i[good], j[good]
+def pair_links(x: np.ndarray, sketch: np.ndarray, group: np.ndarray, side: np.ndarray, across: np.ndarray, least: int, link: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs (i, j) that collisions() counts, those with cosine >= link."""
+    i, j = collisions(sketch, group, side, across, least)
+    for at in range(0, len(i), _PAIRS):
+        a, b = i[at : at + _PAIRS], j[at : at + _PAIRS]
+        good = (x[a] * x[b]).sum(axis=1) >= link
+        yield a[good], b[good]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", link: float = LINK, limit: int = GROUP) -> DataFrame:
@@ -204,7 +188,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 x, group = _unit(vectors_.take(pa.array(pick))), all_groups[pick]
                 cell, lo, hi, side, node, weight = (rows.column(c).to_numpy()[pick] for c in ("cell", "lo", "hi", "side", "node", "weight"))
                 count, root = np.zeros(len(x), np.int64), np.arange(len(x))
-                for i, j in pair_links(x, group, side, lo != hi, p, least, link):
+                for i, j in pair_links(x, p.sketch(x), group, side, lo != hi, least, link):
                     if not len(i):
                         continue
                     # a pair counts in the first table in which it shares a cell

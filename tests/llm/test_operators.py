@@ -532,6 +532,46 @@ def test_op10_collisions_counted():
     assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want and (0, 1) in want
 
 
+@pytest.mark.parametrize("rows", [500, 6_000, 40_000, 10**6, 10**8])
+def test_op10_recall_at_the_threshold(rows):
+    """Pairs at a cosine of 0.95 to 0.96 in the tables and windows that so many rows would have."""
+    k, tables, least = embedding_links.plan(rows)
+    rng = np.random.default_rng(11)
+    n, dim = 4000, 64
+    a, noise = rng.standard_normal((n, dim)), rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.95, 0.96, n)[:, None]
+    b = c * a + np.sqrt(1 - c * c) * noise
+    p = embedding_links.Projections(dim, k, tables)
+    meet = np.zeros(n, bool)
+    for at in range(0, n, 500):
+        meet[at : at + 500] = (p.cell_keys(a[at : at + 500]) == p.cell_keys(b[at : at + 500])).any(axis=1)
+    x = np.stack([a, b], axis=1).reshape(-1, dim)
+    group = np.repeat(np.arange(n), 2)
+    found = np.zeros(n, bool)
+    for i, _ in embedding_links.pair_links(x, p.sketch(x), group, np.zeros(2 * n, np.int64), np.zeros(2 * n, bool), least, 0.9499):
+        found[group[i]] = True
+    assert (meet & found).mean() >= 0.985
+
+
+@pytest.mark.parametrize("rows", [2_000, 9_000])
+def test_op10_whole_run_at_the_threshold(spark, rows):
+    """Half of the rows in pairs at a cosine of 0.95 to 0.955, the others alone, through the whole operator."""
+    rng = np.random.default_rng(rows)
+    n, dim = rows // 4, 48
+    a, noise = rng.standard_normal((n, dim)), rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.955, n)[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * noise, rng.standard_normal((rows - 2 * n, dim))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = embedding_links.near_duplicates(df).where("n_links > 0").count()
+    assert 2 * n >= got >= 0.98 * 2 * n
+
+
 def test_op10_odd_vectors(spark):
     v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (9, [1e30, 1e29]), (10, [1.0, 0.0]), (11, [-1.0, 0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_links.near_duplicates(spark.createDataFrame(v, "vec_id long, embedding array<float>")).collect()}
