@@ -5,7 +5,8 @@ characters is one shingle. Of the shingles' hashes, SIGNATURE fixed points each
 MinHash signature; its values stand in a square whose rows, columns and diagonals are the bands. Lines that share a band are candidates,
 the exact Jaccard similarity of their shingles decides, and distributed union-find makes components, of which one line stays.
 
-No pair of lines that share a band is lost, however crowded the band, and no crowd is compared all with all; see links().
+No pair of lines that share a band is lost, however crowded the band. Lines of a crowd that are connected already don't meet again, and of
+the others only those meet that have a rare difference in common and bounds that allow a link; see links() and _meeting().
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ BANDS = [[SIDE * r + c for c in range(SIDE)] for r in range(SIDE)] + [[SIDE * r
 STEP, PARTS = 8, 3
 #: Members of a band that are each compared with so many others at most; the rest of a larger band meets through what differs.
 FEW = 8
+#: Steps into which the range of two similar lines' differences is dealt where crowds meet.
+STEPS = 4
 _ID_BITS = 62
 
 
@@ -130,14 +133,14 @@ def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tup
 
 
 def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
-    """(pivot, b, linked, size, all, own, other, c, s, w, at), written, and where: the sets D(b) in which lines differ from their pivot, in parts.
+    """(pivot, b, linked, base, size, all, own, other, c, s, w, at), written, and where: the sets D(b) in which lines differ from their pivot, in parts.
 
     crowd: a (the pivot), b, na, nb, common, linked. Lines x and y differ in as much as D(x) and D(y) do: similar to t means that D(x) and D(y)
     differ in r (|x| + |y|) members at most, r = (1 - t) / (1 + t). Where x doesn't link, |D(x)| > r (|x| + |pivot|). So D(x) and D(y)
     share |D(x)| - r (|x| + |y|) members at least, and also (|D(y)| + r (|pivot| - |y|)) / 2. With the members of a crowd's differences
     ordered by how many lines have them, rarest first, x and y meet among the first `own` of D(x) and the first `other` of D(y).
     What all lines share with the pivot is in no difference, and what one line alone has meets nothing: hardly a pair is made in vain.
-    Members that the same c lines have are one part s of weight w; at is the weight before it; size is |b|, all is |D(b)|.
+    Members that the same c lines have are one part s of weight w; at is the weight before it; base is |pivot|, size |b|, all |D(b)|.
     """
     r = (1 - threshold) / (1 + threshold)
     a, b = lines.select(F.col("node").alias("a"), F.col("line").alias("la")), lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
@@ -150,7 +153,7 @@ def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[
     parts = parts.withColumn("all", F.sum("w").over(line)).withColumn("at", F.sum("w").over(line.orderBy("c", "s")) - F.col("w"))
     own = F.when(~F.col("linked"), F.floor(r * F.col("nb") * (1 + 1 / threshold) + 1e-6) + 1)
     other = F.greatest(F.col("all") - F.ceil((F.col("all") + r * (F.col("na") - F.col("nb"))) / 2 - 1e-6) + 1, F.lit(1))
-    parts = parts.where("c > 1").select("pivot", "b", "linked", F.col("nb").alias("size"), "all", own.alias("own"), other.alias("other"), "c", "s", "w", "at")
+    parts = parts.where("c > 1").select("pivot", "b", "linked", F.col("na").alias("base"), F.col("nb").alias("size"), "all", own.alias("own"), other.alias("other"), "c", "s", "w", "at")
     parts = parts.where(F.col("at") < F.greatest(F.coalesce("own", F.lit(0)), "other"))
     return stage(parts, "line-differences", terms_path)
 
@@ -163,16 +166,66 @@ def _likely(apart: DataFrame) -> DataFrame:
     return met.select(F.least("x", "near.b").alias("a"), F.greatest("x", "near.b").alias("b")).distinct()
 
 
+def _sides(apart: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(x, y): what each part of each line may meet with, from a part within the first `own` and the first `other` of its line.
+
+    From the first part that two lines have in common on, both have at most what is left of their differences, so rest(x) and rest(y) are
+    (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 or more. With low = |D| - r |line| and high = 2 rest - low that is: low(x) <= high(y) and low(y) <= high(x).
+    """
+    r = (1 - threshold) / (1 + threshold)
+    low = F.col("all") - r * F.col("size")
+    bounds = apart.withColumn("low", low).withColumn("high", 2 * (F.col("all") - F.col("at")) - F.col("low")).withColumns({"small": F.col("size"), "large": F.col("size")})
+    columns = ["pivot", "s", "base", "label", "b", "low", "high", "small", "large"]
+    return bounds.where("at < own").select(*columns), bounds.where("at < other").select(*columns)
+
+
+def _meeting(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """The rows of x and y, as structs x and y, that agree in `on` and whose bounds nearly allow a link. Each pair comes once.
+
+    Bounds are dealt into steps of their range, and only rows that share a step meet: each row where its bounds begin with those whose
+    bounds go on there. So a part that very many lines have brings together those alone that hardly anything tells apart.
+    """
+    r = (1 - threshold) / (1 + threshold)
+    width = F.greatest(r * F.col("base") / STEPS, F.lit(1.0))
+    ends = {"first": F.floor((F.least("low", "high") - 1e-6) / width), "last": F.floor((F.greatest("low", "high") + 1e-6) / width)}
+
+    def dealt(side: DataFrame, name: str, steps: Column) -> DataFrame:
+        kept = [c for c in side.columns if c not in [*on, "first", "last"]]
+        return side.select(*on, F.col("first").alias(f"{name}_first"), F.explode(steps).alias("step"), F.struct(*kept).alias(name))
+
+    # where low > high, a row fits into the bounds of others alone: two such rows never meet
+    (x, x_wide), (y, y_wide) = ((d, d.where("low <= high")) for d in (x.withColumns(ends), y.withColumns(ends)))
+    begin, going = F.array("first"), F.sequence("first", "last")
+    own = dealt(x_wide, "x", going).join(dealt(y, "y", begin), [*on, "step"])
+    other = dealt(x, "x", begin).join(dealt(y_wide, "y", going), [*on, "step"]).where("step > y_first or x.low > x.high")
+    return own.union(other)
+
+
+def _met(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """Of what meets, the rows whose bounds and sizes allow a link."""
+    room = (F.col("x.low") <= F.col("y.high") + 1e-6) & (F.col("y.low") <= F.col("x.high") + 1e-6)
+    sizes = (F.col("x.large") >= threshold * F.col("y.small") - 1e-6) & (F.col("y.large") >= threshold * F.col("x.small") - 1e-6)
+    return _meeting(x, y, on, threshold).where(room & sizes)
+
+
+def _label_pairs(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
+    """(pivot, s, label, other): labels that have a part in common and whose lines' bounds, taken together, allow a link.
+
+    A part that the lines of one label alone have, as nearly all of a crowd's parts, meets nothing.
+    """
+    ends = [F.first("base").alias("base"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("small").alias("small"), F.max("large").alias("large")]
+    gx, gy = x.groupBy("pivot", "s", "label").agg(*ends), y.groupBy("pivot", "s", "label").agg(*ends)
+    mixed = gx.select("pivot", "s", "label").union(gy.select("pivot", "s", "label")).groupBy("pivot", "s").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("pivot", "s")
+    met = _met(gx.join(mixed, ["pivot", "s"], "left_semi"), gy, ["pivot", "s"], threshold).where("x.label <> y.label")
+    return met.select("pivot", "s", F.col("x.label").alias("label"), F.col("y.label").alias("other"))
+
+
 def _apart(apart: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all pairs of different labels that may link, of which one at least doesn't link with the pivot. apart: with a label for each b."""
-    r = (1 - threshold) / (1 + threshold)
-    x = apart.where("at < own").select("pivot", "s", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("all").alias("dx"), (F.col("all") - F.col("at")).alias("rx"))
-    y = apart.where("at < other").select("pivot", "s", F.col("b").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), F.col("all").alias("dy"), (F.col("all") - F.col("at")).alias("ry"))
-    # from the first part in common on, no more is left than this; the sizes alone may rule a pair out
-    room = F.least("rx", "ry") >= (F.col("dx") + F.col("dy") - r * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
-    fit = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-6
-    same = (x["pivot"] == y["pivot"]) & (x["s"] == y["s"])
-    return x.join(y, same & (F.col("lx") != F.col("ly")) & room & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x, y = _sides(apart, threshold)
+    own = x.join(_label_pairs(x, y, threshold), ["pivot", "s", "label"])
+    met = _met(own, y.withColumnRenamed("label", "other"), ["pivot", "s", "other"], threshold)
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:

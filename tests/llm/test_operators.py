@@ -404,6 +404,35 @@ def test_op7_crowd(spark, edits):
     assert classes(len(texts), linked) == classes(len(texts), share)
 
 
+def test_op7_two_centres_meet_by_labels(spark, monkeypatch):
+    """Lines a word off one of two centres: what meets when the leftovers are joined grows no faster than the lines."""
+    meeting, met = line_dedup._meeting, []
+
+    def counted(x, y, on, threshold):
+        out = meeting(x, y, on, threshold)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_meeting", counted)
+    totals = []
+    for n in (300, 1200):
+        rng = random.Random(3)
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+        centres = [[rng.choice(words) for _ in range(45)]]
+        centres.append([rng.choice(words) if i % 5 == 0 else w for i, w in enumerate(centres[0])])
+        lines = []
+        for k in range(n):
+            own = list(centres[k % 2])
+            own[rng.randrange(45)] = rng.choice(words)
+            lines.append((k, " ".join(own)))
+        df = spark.createDataFrame(lines, "id long, line string")
+        met.clear()
+        found, _ = line_dedup.links(line_dedup.band_keys(line_dedup.with_nodes(line_dedup.signatures(df))), df)
+        assert found.count() >= n - 10
+        totals.append(sum(met))
+    assert totals[1] <= 6 * max(totals[0], 100) and totals[1] <= 10 * 1200, totals
+
+
 def digest_of(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
