@@ -127,9 +127,9 @@ def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tup
     # what a line of a crowd most likely links with; lines that are connected by now need not be compared
     tried, tried_path = stage(compared(direct.union(_likely(apart)).distinct(), held).where(_meets(threshold)).select("a", "b").union(found), "line-links", some_path, met_path)
     labels = components(tried, name="line-labels")
-    left = _apart(apart.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("component", "b")), threshold)
+    left, left_paths = _apart(apart.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("component", "b")), threshold)
     more = compared(left, held).where(_meets(threshold)).select("a", "b")
-    return stage(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more), "line-links", held_path, apart_path, tried_path)
+    return stage(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more), "line-links", held_path, apart_path, tried_path, *left_paths)
 
 
 def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
@@ -166,17 +166,16 @@ def _likely(apart: DataFrame) -> DataFrame:
     return met.select(F.least("x", "near.b").alias("a"), F.greatest("x", "near.b").alias("b")).distinct()
 
 
-def _sides(apart: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(x, y): what each part of each line may meet with, from a part within the first `own` and the first `other` of its line.
+def _bounded(apart: DataFrame, threshold: float) -> DataFrame:
+    """apart with bounds low and high of what each line may link with, and whether the part lies within the first `own` or the first `other`.
 
     From the first part that two lines have in common on, both have at most what is left of their differences, so rest(x) and rest(y) are
     (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 or more. With low = |D| - r |line| and high = 2 rest - low that is: low(x) <= high(y) and low(y) <= high(x).
     """
     r = (1 - threshold) / (1 + threshold)
     low = F.col("all") - r * F.col("size")
-    bounds = apart.withColumn("low", low).withColumn("high", 2 * (F.col("all") - F.col("at")) - F.col("low")).withColumns({"small": F.col("size"), "large": F.col("size")})
-    columns = ["pivot", "s", "base", "label", "b", "low", "high", "small", "large"]
-    return bounds.where("at < own").select(*columns), bounds.where("at < other").select(*columns)
+    high = 2 * (F.col("all") - F.col("at")) - low
+    return apart.select("pivot", "s", "base", "label", "b", low.alias("low"), high.alias("high"), F.col("size").alias("small"), F.col("size").alias("large"), F.coalesce(F.col("at") < F.col("own"), F.lit(False)).alias("as_x"), (F.col("at") < F.col("other")).alias("as_y"))
 
 
 def _meeting(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFrame:
@@ -208,24 +207,32 @@ def _met(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFra
     return _meeting(x, y, on, threshold).where(room & sizes)
 
 
-def _label_pairs(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
-    """(pivot, s, label, other): labels that have a part in common and whose lines' bounds, taken together, allow a link.
+def _label_pairs(bounded: DataFrame, threshold: float) -> tuple[DataFrame, str]:
+    """(pivot, s, label, other), and what was written for it: labels that have a part in common and whose lines' bounds, taken together, allow a link.
 
     A part that the lines of one label alone have, as nearly all of a crowd's parts, meets nothing.
     """
-    ends = [F.first("base").alias("base"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("small").alias("small"), F.max("large").alias("large")]
-    gx, gy = x.groupBy("pivot", "s", "label").agg(*ends), y.groupBy("pivot", "s", "label").agg(*ends)
-    mixed = gx.select("pivot", "s", "label").union(gy.select("pivot", "s", "label")).groupBy("pivot", "s").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("pivot", "s")
-    met = _met(gx.join(mixed, ["pivot", "s"], "left_semi"), gy, ["pivot", "s"], threshold).where("x.label <> y.label")
-    return met.select("pivot", "s", F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-
-
-def _apart(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of different labels that may link, of which one at least doesn't link with the pivot. apart: with a label for each b."""
-    x, y = _sides(apart, threshold)
-    own = x.join(_label_pairs(x, y, threshold), ["pivot", "s", "label"])
-    met = _met(own, y.withColumnRenamed("label", "other"), ["pivot", "s", "other"], threshold)
-    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+
+    def ends(side: str) -> Column:
+        mine = {"low": F.min(F.when(F.col(side), F.col("low"))), "high": F.max(F.when(F.col(side), F.col("high"))), "small": F.min(F.when(F.col(side), F.col("small"))), "large": F.max(F.when(F.col(side), F.col("large")))}
+        return F.struct(*[c.alias(k) for k, c in mine.items()]).alias(side)
+
+    part = Window.partitionBy("pivot", "s")
+    groups = bounded.groupBy("pivot", "s", "label").agg(F.first("base").alias("base"), ends("as_x"), ends("as_y"))
+    groups = groups.withColumn("mixed", F.min("label").over(part) < F.max("label").over(part)).where("mixed").drop("mixed")
+    groups, path = stage(groups, "line-groups")
+    x, y = (groups.where(f"{side}.low is not null").select("pivot", "s", "base", "label", f"{side}.*") for side in ("as_x", "as_y"))
+    met = _met(x, y, ["pivot", "s"], threshold).where("x.label <> y.label")
+    return met.select("pivot", "s", F.col("x.label").alias("label"), F.col("y.label").alias("other")), path
+
+
+def _apart(apart: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
+    """(a, b), and what was written for it: all pairs of different labels that may link, of which one at least doesn't link with the pivot. apart: with a label for each b."""
+    bounded, path = stage(_bounded(apart, threshold), "line-bounds")
+    pairs, groups_path = _label_pairs(bounded, threshold)
+    own = bounded.where("as_x").drop("as_x", "as_y").join(pairs, ["pivot", "s", "label"])
+    met = _met(own, bounded.where("as_y").drop("as_x", "as_y").withColumnRenamed("label", "other"), ["pivot", "s", "other"], threshold)
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct(), [path, groups_path]
 
 
 def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
