@@ -6,7 +6,7 @@ MinHash signature; its values stand in a square whose rows, columns and diagonal
 the exact Jaccard similarity of their shingles decides, and distributed union-find makes components, of which one line stays.
 
 No pair of lines that share a band is lost, however crowded the band. Lines of a crowd that are connected already don't meet again, and of
-the others only those meet that have a rare difference in common and bounds that allow a link; see links() and _meeting().
+the others those meet that have a rare difference in common, label by label where the bounds of the labels allow a link; see _apart().
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ BANDS = [[SIDE * r + c for c in range(SIDE)] for r in range(SIDE)] + [[SIDE * r
 STEP, PARTS = 8, 3
 #: Members of a band that are each compared with so many others at most; the rest of a larger band meets through what differs.
 FEW = 8
-#: Steps into which the range of two similar lines' differences is dealt where crowds meet.
-STEPS = 4
 _ID_BITS = 62
 
 
@@ -122,25 +120,27 @@ def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tup
     few = some.where(F.col("n") < FEW)
     x, y = (few.select("key", F.col("b").alias(c), F.col("linked").alias(f"l{c}")) for c in "ab")
     direct = x.join(y, "key").where("a < b and not (la and lb)").select("a", "b")
-    crowd = some.where(F.col("n") >= FEW).select("a", "b").distinct().join(met, ["a", "b"])
-    apart, apart_path = _differences(crowd, held, threshold)
+    crowded = some.where(F.col("n") >= FEW).select("a", "b").distinct()
+    apart, apart_path = _differences(crowded.join(met, ["a", "b"]), held, threshold)
     # what a line of a crowd most likely links with; lines that are connected by now need not be compared
-    tried, tried_path = stage(compared(direct.union(_likely(apart)).distinct(), held).where(_meets(threshold)).select("a", "b").union(found), "line-links", some_path, met_path)
+    tried, tried_path = stage(compared(direct.union(_likely(apart)).distinct(), held).where(_meets(threshold)).select("a", "b").union(found), "line-links", met_path)
     labels = components(tried, name="line-labels")
-    left, left_paths = _apart(apart.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("component", "b")), threshold)
-    more = compared(left, held).where(_meets(threshold)).select("a", "b")
-    return stage(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more), "line-links", held_path, apart_path, tried_path, *left_paths)
+    left, left_paths = _apart(crowded, apart, labels, threshold)
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+    if left is not None:
+        known = known.union(compared(left, held).where(_meets(threshold)).select("a", "b"))
+    return stage(known, "line-links", held_path, apart_path, tried_path, some_path, *left_paths)
 
 
 def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
-    """(pivot, b, linked, base, size, all, own, other, c, s, w, at), written, and where: the sets D(b) in which lines differ from their pivot, in parts.
+    """(pivot, b, linked, size, all, own, other, c, s, w, at), written, and where: the sets D(b) in which lines differ from their pivot, in parts.
 
     crowd: a (the pivot), b, na, nb, common, linked. Lines x and y differ in as much as D(x) and D(y) do: similar to t means that D(x) and D(y)
     differ in r (|x| + |y|) members at most, r = (1 - t) / (1 + t). Where x doesn't link, |D(x)| > r (|x| + |pivot|). So D(x) and D(y)
     share |D(x)| - r (|x| + |y|) members at least, and also (|D(y)| + r (|pivot| - |y|)) / 2. With the members of a crowd's differences
     ordered by how many lines have them, rarest first, x and y meet among the first `own` of D(x) and the first `other` of D(y).
     What all lines share with the pivot is in no difference, and what one line alone has meets nothing: hardly a pair is made in vain.
-    Members that the same c lines have are one part s of weight w; at is the weight before it; base is |pivot|, size |b|, all |D(b)|.
+    Members that the same c lines have are one part s of weight w; at is the weight before it; size is |b|, all is |D(b)|.
     """
     r = (1 - threshold) / (1 + threshold)
     a, b = lines.select(F.col("node").alias("a"), F.col("line").alias("la")), lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
@@ -153,7 +153,7 @@ def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[
     parts = parts.withColumn("all", F.sum("w").over(line)).withColumn("at", F.sum("w").over(line.orderBy("c", "s")) - F.col("w"))
     own = F.when(~F.col("linked"), F.floor(r * F.col("nb") * (1 + 1 / threshold) + 1e-6) + 1)
     other = F.greatest(F.col("all") - F.ceil((F.col("all") + r * (F.col("na") - F.col("nb"))) / 2 - 1e-6) + 1, F.lit(1))
-    parts = parts.where("c > 1").select("pivot", "b", "linked", F.col("na").alias("base"), F.col("nb").alias("size"), "all", own.alias("own"), other.alias("other"), "c", "s", "w", "at")
+    parts = parts.where("c > 1").select("pivot", "b", "linked", F.col("nb").alias("size"), "all", own.alias("own"), other.alias("other"), "c", "s", "w", "at")
     parts = parts.where(F.col("at") < F.greatest(F.coalesce("own", F.lit(0)), "other"))
     return stage(parts, "line-differences", terms_path)
 
@@ -175,64 +175,50 @@ def _bounded(apart: DataFrame, threshold: float) -> DataFrame:
     r = (1 - threshold) / (1 + threshold)
     low = F.col("all") - r * F.col("size")
     high = 2 * (F.col("all") - F.col("at")) - low
-    return apart.select("pivot", "s", "base", "label", "b", low.alias("low"), high.alias("high"), F.col("size").alias("small"), F.col("size").alias("large"), F.coalesce(F.col("at") < F.col("own"), F.lit(False)).alias("as_x"), (F.col("at") < F.col("other")).alias("as_y"))
+    return apart.select("pivot", "s", "label", "b", low.alias("low"), high.alias("high"), F.col("size").alias("small"), F.col("size").alias("large"), F.coalesce(F.col("at") < F.col("own"), F.lit(False)).alias("as_x"), (F.col("at") < F.col("other")).alias("as_y"))
 
 
-def _meeting(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """The rows of x and y, as structs x and y, that agree in `on` and whose bounds nearly allow a link. Each pair comes once.
-
-    Bounds are dealt into steps of their range, and only rows that share a step meet: each row where its bounds begin with those whose
-    bounds go on there. So a part that very many lines have brings together those alone that hardly anything tells apart.
-    """
-    r = (1 - threshold) / (1 + threshold)
-    width = F.greatest(r * F.col("base") / STEPS, F.lit(1.0))
-    ends = {"first": F.floor((F.least("low", "high") - 1e-6) / width), "last": F.floor((F.greatest("low", "high") + 1e-6) / width)}
-
-    def dealt(side: DataFrame, name: str, steps: Column) -> DataFrame:
-        kept = [c for c in side.columns if c not in [*on, "first", "last"]]
-        return side.select(*on, F.col("first").alias(f"{name}_first"), F.explode(steps).alias("step"), F.struct(*kept).alias(name))
-
-    # where low > high, a row fits into the bounds of others alone: two such rows never meet
-    (x, x_wide), (y, y_wide) = ((d, d.where("low <= high")) for d in (x.withColumns(ends), y.withColumns(ends)))
-    begin, going = F.array("first"), F.sequence("first", "last")
-    own = dealt(x_wide, "x", going).join(dealt(y, "y", begin), [*on, "step"])
-    other = dealt(x, "x", begin).join(dealt(y_wide, "y", going), [*on, "step"]).where("step > y_first or x.low > x.high")
-    return own.union(other)
+def _meeting(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of x and y, as structs x and y, that agree in `on`."""
+    x, y = (side.select(*on, F.struct(*[c for c in side.columns if c not in on]).alias(name)) for side, name in ((x, "x"), (y, "y")))
+    return x.join(y, on)
 
 
 def _met(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFrame:
     """Of what meets, the rows whose bounds and sizes allow a link."""
     room = (F.col("x.low") <= F.col("y.high") + 1e-6) & (F.col("y.low") <= F.col("x.high") + 1e-6)
     sizes = (F.col("x.large") >= threshold * F.col("y.small") - 1e-6) & (F.col("y.large") >= threshold * F.col("x.small") - 1e-6)
-    return _meeting(x, y, on, threshold).where(room & sizes)
+    return _meeting(x, y, on).where(room & sizes)
 
 
-def _label_pairs(bounded: DataFrame, threshold: float) -> tuple[DataFrame, str]:
-    """(pivot, s, label, other), and what was written for it: labels that have a part in common and whose lines' bounds, taken together, allow a link.
+def _label_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
+    """(pivot, s, label, other): labels that have a part in common and whose lines' bounds, taken together, allow a link.
 
     A part that the lines of one label alone have, as nearly all of a crowd's parts, meets nothing.
     """
-
-    def ends(side: str) -> Column:
-        mine = {"low": F.min(F.when(F.col(side), F.col("low"))), "high": F.max(F.when(F.col(side), F.col("high"))), "small": F.min(F.when(F.col(side), F.col("small"))), "large": F.max(F.when(F.col(side), F.col("large")))}
-        return F.struct(*[c.alias(k) for k, c in mine.items()]).alias(side)
-
-    part = Window.partitionBy("pivot", "s")
-    groups = bounded.groupBy("pivot", "s", "label").agg(F.first("base").alias("base"), ends("as_x"), ends("as_y"))
-    groups = groups.withColumn("mixed", F.min("label").over(part) < F.max("label").over(part)).where("mixed").drop("mixed")
-    groups, path = stage(groups, "line-groups")
-    x, y = (groups.where(f"{side}.low is not null").select("pivot", "s", "base", "label", f"{side}.*") for side in ("as_x", "as_y"))
+    ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("small").alias("small"), F.max("large").alias("large")]
+    x, y = (bounded.where(side).groupBy("pivot", "s", "label").agg(*ends) for side in ("as_x", "as_y"))
     met = _met(x, y, ["pivot", "s"], threshold).where("x.label <> y.label")
-    return met.select("pivot", "s", F.col("x.label").alias("label"), F.col("y.label").alias("other")), path
+    return met.select("pivot", "s", F.col("x.label").alias("label"), F.col("y.label").alias("other"))
 
 
-def _apart(apart: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
-    """(a, b), and what was written for it: all pairs of different labels that may link, of which one at least doesn't link with the pivot. apart: with a label for each b."""
-    bounded, path = stage(_bounded(apart, threshold), "line-bounds")
-    pairs, groups_path = _label_pairs(bounded, threshold)
-    own = bounded.where("as_x").drop("as_x", "as_y").join(pairs, ["pivot", "s", "label"])
+def _apart(crowd: DataFrame, apart: DataFrame, labels: DataFrame, threshold: float) -> tuple[DataFrame | None, list[str]]:
+    """(a, b), and what was written for it: all pairs of different labels that may link, of which one at least doesn't link with the pivot.
+
+    crowd: a (the pivot), b; apart: as from _differences(); labels: node, component. Crowds that are connected by now have nothing to compare:
+    there is no frame where all are.
+    """
+    named = labels.select(F.col("node").alias("b"), F.col("component").alias("label"))
+    label = F.coalesce("label", "b")
+    mixed = crowd.join(named, "b", "left").groupBy(F.col("a").alias("pivot")).agg(F.min(label).alias("least"), F.max(label).alias("most")).where("least < most").select("pivot")
+    mixed, mixed_path = stage(mixed, "line-mixed")
+    if mixed.isEmpty():
+        return None, [mixed_path]
+    open_ = apart.join(mixed, "pivot", "left_semi").join(named, "b", "left").withColumn("label", label)
+    bounded, path = stage(_bounded(open_, threshold), "line-bounds")
+    own = bounded.where("as_x").drop("as_x", "as_y").join(_label_pairs(bounded, threshold), ["pivot", "s", "label"])
     met = _met(own, bounded.where("as_y").drop("as_x", "as_y").withColumnRenamed("label", "other"), ["pivot", "s", "other"], threshold)
-    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct(), [path, groups_path]
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct(), [mixed_path, path]
 
 
 def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
