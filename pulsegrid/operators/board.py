@@ -54,9 +54,11 @@ def collapse(raw: DataFrame) -> DataFrame:
 
 
 def evidence(c: DataFrame) -> DataFrame:
-    """Adds evidence, the score of a collapsed candidate, rounded so that ties are ties on any machine."""
+    """Adds evidence, the score of a collapsed candidate, rounded so that ties are ties on any machine; pulse and section count where c has them."""
     direct = F.when(has(F.col("bits"), "equivalent"), 0.7).otherwise(0.0)
     score = F.col("support") * 4.0 + F.col("winner_support") + F.col("best_score") * 10.0 + F.log(F.greatest("score_sum", F.lit(0.0)) + 1.0) * 1.5 + direct
+    for merged in ("pulse", "section"):
+        score = score + F.col(merged) * 4.0 if merged in c.columns else score
     return c.withColumn("evidence", F.round(score, 9))
 
 

@@ -15,6 +15,7 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.functions.relations import mask
+from pulsegrid.sources.staged import staged
 
 #: What a candidate carries: k_ in conditions of picks, and the pick's own prefix in those of gates.
 FIELDS = ("rate", "cluster", "place", "bits", "support", "winner", "local", "base", "pulse", "pulse_section", "cont", "cont_section", "cont_ratio", "cont_stab", "evidence")
@@ -319,7 +320,8 @@ def decide(candidates: DataFrame, context: DataFrame, gates: list[Gate] | None =
     Tracks without a candidate or without a context have no row. A gate whose condition is unknown, as facts are null, does not hold.
     """
     spark, engine = candidates.sparkSession, Engine(picks=picks, gates=gates)
-    facts = spark.sql(engine.facts("{candidates}", "{context}"), candidates=candidates, context=context)
+    # a wide row for each track, read twice: for the picks, and beside them
+    facts = staged(spark.sql(engine.facts("{candidates}", "{context}"), candidates=candidates, context=context), "facts")
     chosen = spark.sql(engine.chosen("{candidates}", "{facts}"), candidates=candidates, facts=facts)
     return spark.sql(engine.final("{decided}"), decided=spark.sql(engine.decided("{chosen}"), chosen=chosen))
 

@@ -23,10 +23,6 @@ def selector_scores(spark, d):  # noqa: ANN001, ANN201
     return selectors.scored(_board(spark, d), raw(spark, d)).select("track", "rate", "lane", *[(F.col(c) + 0.0).alias(c) for c in ("cluster", "harmonic", "soft", "proof")])
 
 
-def primary_select(spark, d):  # noqa: ANN001, ANN201
-    return selectors.primary(selectors.scored(_board(spark, d), raw(spark, d))).select("track", "lane", "selector", "rate", "bits", "hold")
-
-
 def soft_centre(spark, d):  # noqa: ANN001, ANN201
     return selectors.soft_centre(selectors.measured(_board(spark, d)), 128.0, 30.0)
 
@@ -42,24 +38,11 @@ _MERGED = f"""{LANES}, {_PULSE}, m AS (SELECT track, rate, bit, support, winner_
   UNION ALL SELECT l_orderkey, floor(l_quantity) * 2 + 60, {relations.bit('equivalent')}, least(greatest(l_discount * 8, 0), 1), 0, 1, l_discount * 8, 0, l_discount * 8, 0, 0, l_discount * 8 FROM lineitem WHERE l_linenumber = 3),
 mg AS (SELECT track, rate, bit, max(support) AS support, max(winner_support) AS winner_support, max(best_score) AS best_score, max(pulse) AS pulse, max(section) AS section, max(continuous) AS continuous, sum(rows) AS rows, sum(score_sum) AS score_sum FROM m GROUP BY 1, 2, 3),
 mb AS (SELECT track, rate, bit_or(bit)::BIGINT AS bits, max(support) AS support, max(winner_support) AS winner_support, max(best_score) AS best_score, max(pulse) AS pulse, max(section) AS section, max(continuous) AS continuous, sum(least(score_sum, 2)) AS score_sum FROM mg GROUP BY 1, 2),
-ms AS (SELECT mb.*, lane, round(support * 4 + winner_support + best_score * 10 + ln(score_sum + 1) * 1.5::DOUBLE + CASE WHEN bits & {relations.bit('equivalent')} <> 0 THEN 0.7::DOUBLE ELSE 0 END, 9) AS evidence,
+ms AS (SELECT mb.*, lane, round(support * 4 + winner_support + best_score * 10 + pulse * 4 + section * 4 + ln(score_sum + 1) * 1.5::DOUBLE + CASE WHEN bits & {relations.bit('equivalent')} <> 0 THEN 0.7::DOUBLE ELSE 0 END, 9) AS evidence,
   round({lane_score(CLUSTER, 130.0)}, 9) AS cluster, round({sql_score(HARMONIC, 130.0)}, 9) AS harmonic, round({sql_score(SOFT, 130.0)}, 9) AS soft, round(best_score + section * 0.12::DOUBLE, 9) AS proof FROM mb JOIN lanes USING (track))"""
-_FIRST = lambda where, order: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY {order}) AS n FROM ms WHERE {where}) WHERE n = 1)"
-_E, _D = relations.bit("equivalent"), M("double_time")
-_PRIMARY = f"""{_MERGED}, cl AS {_FIRST('TRUE', 'cluster DESC, support DESC, winner_support DESC, round(score_sum, 9) DESC, rate')}, ha AS {_FIRST('rate BETWEEN 40 AND 220', 'harmonic DESC, rate')}, so AS {_FIRST('rate BETWEEN 126 AND 141.5', 'soft DESC, rate')},
-pick AS (SELECT cl.track, cl.lane, CASE WHEN cl.lane = 'harmonic_conflict' THEN 'harmonic' WHEN cl.lane = 'general' AND cl.rate BETWEEN 143 AND 145 AND cl.bits & {M('three_halves', 'four_thirds')} <> 0 AND coalesce(so.proof >= cl.proof * 1.2::DOUBLE, FALSE) THEN 'soft_144' ELSE 'cluster' END AS selector,
-  CASE WHEN selector = 'harmonic' THEN ha.rate WHEN selector = 'soft_144' THEN so.rate ELSE cl.rate END AS rate FROM cl LEFT JOIN ha USING (track) LEFT JOIN so USING (track)),
-w AS (SELECT ms.*, pick.selector FROM ms JOIN pick ON ms.track = pick.track AND ms.rate = pick.rate),
-f AS (SELECT * FROM (SELECT c.track, c.rate, row_number() OVER (PARTITION BY c.track ORDER BY c.evidence DESC, c.rate) AS n FROM ms c JOIN w USING (track) WHERE w.lane = 'high_pulse' AND w.rate BETWEEN 118 AND 122 AND w.bits & {_E} <> 0 AND c.rate BETWEEN 126 AND 130.5 AND c.support >= 0.6
-  AND c.best_score >= 0.18 AND c.section >= 0.55 AND c.evidence >= w.evidence * 1.25::DOUBLE) WHERE n = 1),
-s AS (SELECT * FROM (SELECT c.track, c.rate, row_number() OVER (PARTITION BY c.track ORDER BY c.evidence DESC, c.support DESC, c.winner_support DESC, c.rate) AS n FROM ms c JOIN w USING (track) WHERE w.lane = 'harmonic_conflict' AND c.rate >= 84 AND c.rate / w.rate BETWEEN 0.64::DOUBLE AND 0.69::DOUBLE
-  AND c.support >= 0.85 AND c.winner_support >= 0.25 AND c.best_score >= 0.08 AND c.evidence >= w.evidence * 0.55::DOUBLE AND w.section < 0.6 AND w.bits & {M('equivalent', 'double_time', 'three_halves', 'four_thirds')} <> 0 AND c.bits & {M('two_thirds', 'four_thirds', 'three_quarters')} <> 0) WHERE n = 1),
-fin AS (SELECT w.track, CASE WHEN f.rate IS NOT NULL THEN 'rescue_128' WHEN s.rate IS NOT NULL THEN 'rescue_two_thirds' ELSE w.selector END AS selector, coalesce(f.rate, s.rate, w.rate) AS rate FROM w LEFT JOIN f USING (track) LEFT JOIN s USING (track))"""
-QUERIES = {f.__name__: f for f in (selector_scores, primary_select, soft_centre, slow_rescue)}
+QUERIES = {f.__name__: f for f in (selector_scores, soft_centre, slow_rescue)}
 ORACLE = {
     "selector_scores": f"WITH {_MERGED} SELECT track, rate, lane, cluster + 0.0::DOUBLE AS cluster, harmonic + 0.0::DOUBLE AS harmonic, soft + 0.0::DOUBLE AS soft, proof + 0.0::DOUBLE AS proof FROM ms",
-    "primary_select": f"""WITH {_PRIMARY} SELECT fin.track, ms.lane, fin.selector, fin.rate, bits, ms.lane = 'general' AND fin.rate BETWEEN 143 AND 145 AND bits & {_E} <> 0 AND bits & {M('four_thirds', 'three_halves')} <> 0 AND support BETWEEN 0.45 AND 0.75 AND winner_support <= 0.12
-      AND best_score <= 0.08 AND pulse <= 0.05 AND section <= 0.05 AND continuous <= 0.05 AS hold FROM fin JOIN ms ON ms.track = fin.track AND ms.rate = fin.rate""",
     "soft_centre": f"""WITH {_MERGED}, e AS (SELECT *, round(support * 0.34::DOUBLE + winner_support * 0.24::DOUBLE + best_score * 0.14::DOUBLE + pulse * 0.13::DOUBLE + section * 0.1::DOUBLE + continuous * 0.03::DOUBLE + 0.02::DOUBLE * coalesce(least(1, greatest(0, score_sum / nullif(max(score_sum) OVER (PARTITION BY track), 0))), 0), 9) AS measured FROM mb),
       x AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY measured DESC, support DESC, winner_support DESC, section DESC, best_score DESC, round(score_sum, 9) DESC, rate) AS a,
         row_number() OVER (PARTITION BY track ORDER BY round(measured + 0.08::DOUBLE * exp(-0.5::DOUBLE * pow((rate - 128) / 15, 2)), 9) DESC, support DESC, winner_support DESC, section DESC, best_score DESC, round(score_sum, 9) DESC, rate) AS b FROM e WHERE rate BETWEEN 40 AND 220),
