@@ -123,16 +123,14 @@ def scanned(onsets: DataFrame, centres: DataFrame, grid: Grid, least: int = 1) -
 def coarse_to_fine(onsets: DataFrame, centres: DataFrame, coarse: Grid, fine: Grid, least: int = 1) -> DataFrame:
     """(track, section, rate, score, coarse_rate, coarse_score, border): a second grid around each track's coarse winner.
 
-    The fine grid's centre is what the coarse one found, so only points near it are ever summed. border: the fine winner is the fine grid's end.
+    The fine grids' centres are what the coarse one found in the track's sections, so only points near these are ever summed. border: the fine
+    winner is the fine grid's end.
     """
     first = scanned(onsets, centres, coarse, least)
     top = first.groupBy("track", "section").agg(F.max(F.struct("score", (-F.col("rate")).alias("r"))).alias("b")).select("track", "section", (-F.col("b.r")).alias("coarse_rate"), F.col("b.score").alias("coarse_score"))
-    near = onsets.join(top, ["track", "section"])
-    # a scan's centre belongs to its section, so sections stand for tracks here
-    narrowed = near.select(F.xxhash64("track", "section").alias("track"), F.lit(0).alias("section"), "t", "span")
-    second = scanned(narrowed, top.select(F.xxhash64("track", "section").alias("track"), F.col("coarse_rate").alias("centre")), fine, least)
-    named = top.withColumn("id", F.xxhash64("track", "section"))
-    return named.join(second.select(F.col("track").alias("id"), "rate", "score", "border"), "id").select("track", "section", "rate", "score", "coarse_rate", "coarse_score", "border")
+    # a scan's centre belongs to its section: the winners of sections that found the same rate share a scan, each with its own onsets
+    second = scanned(onsets, top.select("track", F.col("coarse_rate").alias("centre")).distinct(), fine, least)
+    return top.join(second.withColumnRenamed("centre", "coarse_rate"), ["track", "section", "coarse_rate"]).select("track", "section", "rate", "score", "coarse_rate", "coarse_score", "border")
 
 
 def consensus(found: DataFrame, best: DataFrame, tolerance: float = 0.5) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import decimal_comma
 from pulsegrid.operators.evidence import Violation
+from pulsegrid.sources.staged import staged
 
 #: The kinds of lines by the end of the event's name, and what they are called here.
 KINDS = {"AnalysisProvenance": "provenance", "SamplingPlan": "plan", "PrimarySegment": "segment", "PolicyCandidateBoard": "board", "PolicyDecision": "policy", "Decision:": "decision", "Track Timing:": "timing", "Final Output:": "final"}
@@ -135,9 +136,9 @@ def violations(records: DataFrame, lost: DataFrame, found: DataFrame) -> DataFra
 
 def sessions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tracks, violations) of the runs in lines (run, line)."""
-    records = read(lines)
+    records = staged(read(lines), "records")  # parsed once; four ways to attach read it
     every, lost = attached(records)
-    found = tracks(every)
+    found = staged(tracks(every), "tracks")
     return found, violations(records, lost, found)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import series
+from pulsegrid.operators import grids, series
 from pulsegrid.sources import inputs
 from pulsegrid.sources.inputs import ONSETS, SPANS, UNIT_S
 
 SCALE = 15_000_000_000.0
+#: Seconds in a section.
+SECTION_S = UNIT_S / 6
 BOUNDS = [60.0, 600.0, 1800.0, 3600.0, 7200.0, 14_400.0, 28_800.0, 43_200.0, 86_400.0, 172_800.0, 345_600.0]
 
 
@@ -83,9 +86,31 @@ def rate_scan(spark, d):  # noqa: ANN001, ANN201
     return _round(found, 5).groupBy("track", "centre").agg(F.count("*").alias("points"), F.max("score").alias("best_score"), F.min("score").alias("least_score"))
 
 
+def _sections(spark, d):  # noqa: ANN001, ANN202
+    """Onsets of a track's five-day sections, with the seconds that each section's cover."""
+    rows = _timed(spark, d).select("track", F.floor(F.col("t") / SECTION_S).alias("section"), "t")
+    part = Window.partitionBy("track", "section")
+    return rows.withColumn("span", F.max("t").over(part) - F.min("t").over(part))
+
+
+def _centres(spark, d):  # noqa: ANN001, ANN202
+    return _rates(spark, d).select("track", F.col("rate").alias("centre"))
+
+
 def local_exact(spark, d):  # noqa: ANN001, ANN201
-    found = series.scan(_timed(spark, d), _rates(spark, d).withColumnRenamed("rate", "centre"), 0.75, 0.01, UNIT_S)
-    return series.best_of_scan(found).select("track", "centre", "rate", F.round("score", 5).alias("score"))
+    found = grids.scanned(_timed(spark, d).withColumn("section", F.lit(0)), _centres(spark, d), grids.Grid(0.75, 0.01, UNIT_S))
+    return found.select("track", "centre", "rate", F.round("score", 5).alias("score"))
+
+
+def segment_consensus(spark, d):  # noqa: ANN001, ANN201
+    grid = grids.Grid(6.0, 0.25, UNIT_S)
+    whole = grids.scanned(_timed(spark, d).withColumn("section", F.lit(0)), _centres(spark, d), grid)
+    return _round(grids.consensus(grids.scanned(_sections(spark, d), _centres(spark, d), grid, 4), whole, 0.5), 5)
+
+
+def coarse_to_fine(spark, d):  # noqa: ANN001, ANN201
+    found = grids.coarse_to_fine(_timed(spark, d).withColumn("section", F.lit(0)), _centres(spark, d), grids.Grid(6.0, 0.25, UNIT_S), grids.Grid(0.5, 0.01, UNIT_S))
+    return found.select("track", "rate", F.round("score", 5).alias("score"), "coarse_rate", F.round("coarse_score", 5).alias("coarse_score"), "border")
 
 
 def interval_recurrence(spark, d):  # noqa: ANN001, ANN201
@@ -132,11 +157,19 @@ _TIMED = f"tm AS (SELECT track, us / 1e6::DOUBLE AS t, (max(us) OVER (PARTITION
 _FRAMES = f"fr AS (SELECT track, floor(us / 86400000000)::BIGINT AS frame, avg(value * value) AS energy FROM ({ONSETS}) GROUP BY 1, 2), fx AS (SELECT track, frame, energy, coalesce(greatest(0, ln(energy + 1) - lag(ln(energy + 1)) OVER (PARTITION BY track ORDER BY frame)), 0) AS flux FROM fr)"
 
 
-def _scan(half: float, step: float) -> str:
+def _scan_of(out: str, rows: str, centres: str, by: str, half: float, step: float) -> str:
+    """The scores of all grid points: rows (by, t, span) around the centres (by or track, centre)."""
     a = f"(t * (2 * pi()) / ({UNIT_S}::DOUBLE / rate))"
-    return f"""ce AS (SELECT track, round(rate, 2) AS centre FROM rt), g AS (SELECT tm.track, t, span, centre, round(centre - {half} + k * {step}::DOUBLE, 6) AS rate FROM tm JOIN ce USING (track), (SELECT unnest(range(0, {round(2 * half / step) + 1})) AS k)),
-ph AS (SELECT track, centre, rate, count(*) AS n, sum(cos({a})) AS c1, sum(sin({a})) AS s1, sum(cos(2 * {a})) AS c2, sum(sin(2 * {a})) AS s2, max(span / ({UNIT_S}::DOUBLE / rate)) AS expected FROM g WHERE rate >= 30 GROUP BY ALL),
-sc AS (SELECT track, centre, rate, round(0.5::DOUBLE * sqrt(c1 * c1 + s1 * s1) / n + 0.35::DOUBLE * sqrt(c2 * c2 + s2 * s2) / n + 0.15::DOUBLE * least(1, least(4, n / greatest(expected, 1))), 9) AS score FROM ph)"""
+    return f"""{out}_g AS (SELECT r.*, centre, round(centre - {half} + k * {step}::DOUBLE, 6) AS rate FROM {rows} AS r JOIN {centres} AS c ON r.track = c.track, (SELECT unnest(range(0, {round(2 * half / step) + 1})) AS k)),
+{out}_p AS (SELECT {by}, centre, rate, count(*) AS n, sum(cos({a})) AS c1, sum(sin({a})) AS s1, sum(cos(2 * {a})) AS c2, sum(sin(2 * {a})) AS s2, max(span / ({UNIT_S}::DOUBLE / rate)) AS expected FROM {out}_g WHERE rate >= 30 GROUP BY ALL),
+{out} AS (SELECT {by}, centre, rate, n, round(0.5::DOUBLE * sqrt(c1 * c1 + s1 * s1) / n + 0.35::DOUBLE * sqrt(c2 * c2 + s2 * s2) / n + 0.15::DOUBLE * least(1, least(4, n / greatest(expected, 1))), 9) AS score FROM {out}_p)"""
+
+
+def _scan(half: float, step: float) -> str:
+    return f"ce AS (SELECT track, round(rate, 2) AS centre FROM rt), {_scan_of('sc', 'tm', 'ce', 'track', half, step)}"
+
+
+_BEST = lambda rows, by: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, rate) AS place FROM {rows}) WHERE place = 1)"
 
 
 _CASES = " ".join(f"WHEN gap_s <= {b} THEN {k}" for k, b in enumerate(BOUNDS))
@@ -148,10 +181,13 @@ SELECT go.track, src.n, {step} FROM go JOIN src ON go.track = src.track AND src.
 
 _SPACED = fold_sql(f"SELECT track, us / 1e6::DOUBLE AS x, value AS w FROM ({ONSETS})", "x, w", "x AS t, w AS weight, 1 AS g", "CASE WHEN x - t >= 43200 OR w > weight THEN x ELSE t END, CASE WHEN x - t >= 43200 OR w > weight THEN w ELSE weight END, g + (x - t >= 43200)::INT")
 _CLUSTERS = fold_sql(f"SELECT track, value AS x FROM ({ONSETS})", "x", "x AS c, 1::BIGINT AS k, 1 AS g", "CASE WHEN abs(x - c) <= 0.5 THEN (c * k + x) / (k + 1) ELSE x END, CASE WHEN abs(x - c) <= 0.5 THEN k + 1 ELSE 1 END, g + (abs(x - c) > 0.5)::INT")
+_SECTIONS = f"sec AS (SELECT track, section, t, max(t) OVER (PARTITION BY track, section) - min(t) OVER (PARTITION BY track, section) AS span FROM (SELECT track, floor(t / {SECTION_S})::BIGINT AS section, t FROM tm))"
+_AGREED = f"""{_RATE}, {_TIMED}, {_scan(6.0, 0.25)}, {_SECTIONS}, {_scan_of('ss', 'sec', 'ce', 'track, section', 6.0, 0.25)}, win AS (SELECT track, section, rate AS x FROM {_BEST('ss', 'track, section')} WHERE n >= 4), whole AS (SELECT track, rate AS c FROM {_BEST('sc', 'track')})"""
+_GROUPS = fold_sql("SELECT track, x FROM win", "x", "x AS c, 1::BIGINT AS k, 1 AS g", "CASE WHEN abs(x - c) <= 0.5 THEN (c * k + x) / (k + 1) ELSE x END, CASE WHEN abs(x - c) <= 0.5 THEN k + 1 ELSE 1 END, g + (abs(x - c) > 0.5)::INT")
 QUERIES = {
     f.__name__: f
     for f in (
-        window_plan, window_coverage, onset_segment_join, energy_flux, flux_peaks, ioi_median_rate, run_mode, onset_union, phase_vector_strength, rate_scan, local_exact, interval_recurrence,
+        window_plan, window_coverage, onset_segment_join, energy_flux, flux_peaks, ioi_median_rate, run_mode, onset_union, phase_vector_strength, rate_scan, local_exact, segment_consensus, coarse_to_fine, interval_recurrence,
         theil_sen_interval, segment_quantiles, histogram_p95, peak_spacing, cluster_fold, tap_sessions,
     )
 }
@@ -175,7 +211,12 @@ ORACLE = {
       FROM tm JOIN (SELECT track, {UNIT_S}::DOUBLE / round(rate, 2) AS p FROM rt) USING (track) GROUP BY track)
       SELECT track, n, round(sqrt(c1 * c1 + s1 * s1) / n, 5) AS vs, round(sqrt(c2 * c2 + s2 * s2) / n, 5) AS axial, round(least(4, n / greatest(e, 1)), 5) AS density FROM q""",
     "rate_scan": f"WITH {_RATE}, {_TIMED}, {_scan(6.0, 0.25)} SELECT track, centre, count(*) AS points, max(round(score, 5)) AS best_score, min(round(score, 5)) AS least_score FROM sc GROUP BY 1, 2",
-    "local_exact": f"WITH {_RATE}, {_TIMED}, {_scan(0.75, 0.01)} SELECT track, centre, rate, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY track, centre ORDER BY score DESC, rate) AS n FROM sc) WHERE n = 1",
+    "local_exact": f"WITH {_RATE}, {_TIMED}, {_scan(0.75, 0.01)} SELECT track, centre, rate, round(score, 5) AS score FROM {_BEST('sc', 'track, centre')}",
+    "segment_consensus": f"""WITH RECURSIVE {_AGREED}, {_GROUPS}, cl AS (SELECT track, c AS cluster, k FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY k DESC, c) AS place FROM (SELECT *, row_number() OVER (PARTITION BY track, g ORDER BY n DESC) AS last FROM go) WHERE last = 1) WHERE place = 1),
+      q AS (SELECT track, count(*) AS sections, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.75) AS q75, min(x) AS least, max(x) AS most FROM win GROUP BY track), ns AS (SELECT track, avg(CASE WHEN abs(x - whole.c) <= 0.5 THEN 1::DOUBLE ELSE 0 END) AS near_best FROM win JOIN whole USING (track) GROUP BY track)
+      SELECT track, sections, round(median, 5) AS median, round(q25, 5) AS q25, round(q75, 5) AS q75, round(q75 - q25, 5) AS iqr, round(least, 5) AS least, round(most, 5) AS most, round(near_best, 5) AS near_best, round(cluster, 5) AS cluster, round(k / sections, 5) AS cluster_share FROM q JOIN ns USING (track) JOIN cl USING (track)""",
+    "coarse_to_fine": f"""WITH {_RATE}, {_TIMED}, {_scan(6.0, 0.25)}, co AS (SELECT track, rate AS centre, score AS coarse_score FROM {_BEST('sc', 'track')}), {_scan_of('fi', 'tm', 'co', 'track', 0.5, 0.01)}
+      SELECT f.track, f.rate, round(f.score, 5) AS score, co.centre AS coarse_rate, round(coarse_score, 5) AS coarse_score, abs(abs(f.rate - co.centre) - 0.5) < 1e-7 AS border FROM {_BEST('fi', 'track')} AS f JOIN co USING (track)""",
     "interval_recurrence": f"""WITH {_RATE}, {_TIMED}, r AS (SELECT tm.track, t, {UNIT_S}::DOUBLE / round(rate, 2) AS p FROM tm JOIN rt USING (track)), k AS (SELECT unnest([1, 2, 4]) AS k),
       h AS (SELECT track, sum(1.0::DOUBLE / k) AS h FROM r a, k WHERE EXISTS (SELECT 1 FROM r b WHERE b.track = a.track AND abs(b.t - (a.t + a.p * k)) <= greatest(a.p * 0.01::DOUBLE, 0.006::DOUBLE)) GROUP BY track)
       SELECT track, round(coalesce(h, 0) / (n * 1.75::DOUBLE), 6) AS score FROM (SELECT track, count(*) AS n FROM r GROUP BY track) LEFT JOIN h USING (track)""",
