@@ -2,7 +2,7 @@
 
 Every window of 64 bytes of a text is a feature. Its Shannon entropy, exact in integers, gives a rank by how improbable such an
 entropy is in text; of each 64 neighbouring windows the rarest counts as popular once, and windows popular at least 16 times
-are selected. A hash of each selected window sets five bits of a Bloom filter; 160 windows fill a filter of 2,048 bits and the
+are selected. Where a text has few of these, windows of 16 bytes are ranked and selected alike, of 8 neighbours each, and join in. A hash of each selected window sets five bits of a Bloom filter; 160 windows fill a filter of 2,048 bits and the
 next one begins. Two fingerprints are compared filter by filter: the common bits over what chance gives, over the most there could be.
 """
 
@@ -18,51 +18,62 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import shuffle_partitions, texts
 
-WINDOW, NEIGHBOURS, POPULAR = 64, 64, 16
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
-#: Windows of SHORT bytes are features too, all of them where no window is selected; each selected one takes 1 / FADE of them away, so
-#: that a short text has features enough and a few bytes more or less change few of them.
-FADE, SHORT = 32, 12
-#: Entropy most windows of text have, in thousandths of six bits, the spread around it, and what is too low to tell texts apart.
-TYPICAL, SPREAD, TOO_LOW = 660, 70, 250
+#: Each window of the large scale that is selected takes 1 / FADE of those of the small scale away, so that a short text has features enough
+#: and a few bytes more or less change few of them.
+FADE = 32
+#: In thousandths of the most there can be: entropy that is too low to tell texts apart.
+TOO_LOW = 250
 _SCALE, _NEVER = 1 << 16, 1 << 10
 _BUFFER, _SEGMENT = 1 << 18, 1 << 18
-_PAD = NEIGHBOURS - 1
 
-_COUNT = np.arange(WINDOW + 2)
-_CLOG = np.rint(_COUNT * np.log2(np.maximum(_COUNT, 1)) * _SCALE).astype(np.int64)
-_BINS = np.arange(1001)
-_RANK = np.where(_BINS < TOO_LOW, _NEVER, np.rint(1000 * np.exp(-(((_BINS - TYPICAL) / SPREAD) ** 2) / 2))).astype(np.int64)
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
+class Scale:
+    """Windows of one length: how many neighbours each has, how often it must be the rarest, and the entropy that most windows have.
+
+    bits: the most that a byte of a window can tell; typical and spread: thousandths of it.
+    """
 
-def _ranks(b: np.ndarray) -> np.ndarray:
-    """The rank of the window that begins at each place; the lower, the rarer."""
-    n = len(b)
-    behind, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-    for k in range(1, WINDOW):
-        same = (b[k:] == b[:-k]).view(np.uint8)
-        behind[k:] += same
-        ahead[:-k] += same
-    leaves = _CLOG[ahead[: n - WINDOW]] - _CLOG[ahead[: n - WINDOW] + np.uint8(1)]
-    enters = _CLOG[behind[WINDOW:] + np.uint8(1)] - _CLOG[behind[WINDOW:]]
-    total = np.empty(n - WINDOW + 1, np.int64)
-    total[0] = _CLOG[np.bincount(b[:WINDOW], minlength=256)].sum()
-    np.cumsum(leaves + enters, out=total[1:])
-    total[1:] += total[0]
-    most = 6 * WINDOW * _SCALE
-    return _RANK[np.clip((most - total) * 1000 // most, 0, 1000)]
-
-
-def _select(b: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Places of selected windows. valid: where a window begins that lies in one text."""
-    n = len(valid)
-    rank = np.where(valid, _ranks(b)[:n], _NEVER)
-    least = rank << 20 | np.arange(n)
-    for step in (1, 2, 4, 8, 16, 32):
-        least = np.minimum(least[:-step], least[step:])
-    least = least[(least >> 20) < _NEVER]
-    return np.flatnonzero(np.bincount(least & ((1 << 20) - 1), minlength=n) >= POPULAR)
+    def __init__(self, window: int, neighbours: int, popular: int, bits: int, typical: int, spread: int):
+        self.window, self.neighbours, self.popular, self.pad = window, neighbours, popular, neighbours - 1
+        count = np.arange(window + 2)
+        self.clog = np.rint(count * np.log2(np.maximum(count, 1)) * _SCALE).astype(np.int64)
+        bins = np.arange(1001)
+        self.rank = np.where(bins < TOO_LOW, _NEVER, np.rint(1000 * np.exp(-(((bins - typical) / spread) ** 2) / 2))).astype(np.int64)
+        self.most = bits * window * _SCALE
+
+    def ranks(self, b: np.ndarray) -> np.ndarray:
+        """The rank of the window that begins at each place; the lower, the rarer."""
+        n, w, clog = len(b), self.window, self.clog
+        behind, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        for k in range(1, w):
+            same = (b[k:] == b[:-k]).view(np.uint8)
+            behind[k:] += same
+            ahead[:-k] += same
+        leaves = clog[ahead[: n - w]] - clog[ahead[: n - w] + np.uint8(1)]
+        enters = clog[behind[w:] + np.uint8(1)] - clog[behind[w:]]
+        total = np.empty(n - w + 1, np.int64)
+        total[0] = clog[np.bincount(b[:w], minlength=256)].sum()
+        np.cumsum(leaves + enters, out=total[1:])
+        total[1:] += total[0]
+        return self.rank[np.clip((self.most - total) * 1000 // self.most, 0, 1000)]
+
+    def select(self, b: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Places of selected windows. valid: where a window begins that lies in one text."""
+        n = len(valid)
+        rank = np.where(valid, self.ranks(b)[:n], _NEVER)
+        least = rank << 20 | np.arange(n)
+        step = 1
+        while step < self.neighbours:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        least = least[(least >> 20) < _NEVER]
+        return np.flatnonzero(np.bincount(least & ((1 << 20) - 1), minlength=n) >= self.popular)
+
+
+LARGE, SMALL = Scale(64, 64, 16, 6, 660, 70), Scale(16, 8, 3, 4, 790, 70)
+WINDOW, _PAD = LARGE.window, LARGE.pad
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def _hash(windows: np.ndarray) -> np.ndarray:
@@ -75,12 +86,27 @@ def _hash(windows: np.ndarray) -> np.ndarray:
 
 
 def _short_windows(text: bytes) -> np.ndarray:
-    """Hashes of all windows of SHORT bytes, or of the whole text where it has fewer."""
-    if len(text) < SHORT:
+    """Hashes of the small scale's selected windows, of all where none is selected, or of the whole text where it has no window."""
+    if len(text) < SMALL.window:
         return np.frombuffer(hashlib.sha256(text).digest()[:8], np.uint64)
-    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), SHORT)
-    windows = np.zeros((len(view), WINDOW), np.uint8)
-    windows[:, :SHORT] = view
+    found = []
+    for lo in range(0, len(text) - SMALL.window + 1, _SEGMENT):
+        # a part with what stands around it
+        a, hi = max(0, lo - SMALL.pad), min(len(text) - SMALL.window + 1, lo + _SEGMENT)
+        part = text[a : hi + SMALL.pad + SMALL.window - 1]
+        b = np.frombuffer(bytes(SMALL.pad) + part + bytes(SMALL.pad + SMALL.window), np.uint8)
+        valid = np.zeros(len(b) - SMALL.window + 1, bool)
+        valid[SMALL.pad : SMALL.pad + len(part) - SMALL.window + 1] = True
+        places = SMALL.select(b, valid)
+        found.append(text_windows(b, places[(places - SMALL.pad >= lo - a) & (places - SMALL.pad < hi - a)]))
+    some = np.concatenate(found)
+    return some if len(some) else text_windows(np.frombuffer(text, np.uint8), np.arange(len(text) - SMALL.window + 1))
+
+
+def text_windows(b: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the small scale's windows at some places, the rest of each taken for zeros."""
+    windows = np.zeros((len(places), WINDOW), np.uint8)
+    windows[:, : SMALL.window] = np.lib.stride_tricks.sliding_window_view(b, SMALL.window)[places]
     return _hash(windows)
 
 
@@ -101,7 +127,7 @@ def features(data: list[bytes]) -> list[np.ndarray]:
             begins.append(at)
             valid[at : at + windows] = True
             at += len(part)
-        places = _select(b, valid)
+        places = LARGE.select(b, valid)
         hashes = _hash(np.lib.stride_tricks.sliding_window_view(b, WINDOW)[places]) if len(places) else np.zeros(0, np.uint64)
         for (k, _, lo, hi, _), begin in zip(held, begins, strict=True):
             x, y = np.searchsorted(places, [begin + lo, begin + hi])

@@ -175,6 +175,47 @@ def test_op3(spark, sf_dir, docs):
     assert (near[:, 0] > near[:, 1]).mean() > 0.9
 
 
+def plain_features(text):
+    """Selected windows of both scales, one window after another."""
+    import math
+
+    def chosen(scale):
+        n = len(text) - scale.window + 1
+        ranks = []
+        for i in range(max(n, 0)):
+            w = text[i : i + scale.window]
+            clog = [0] + [round(c * math.log2(c) * 65536) for c in range(1, scale.window + 1)]
+            left = (scale.most - sum(clog[w.count(x)] for x in set(w))) * 1000 // scale.most
+            ranks.append(int(scale.rank[min(max(left, 0), 1000)]))
+        popular = [0] * max(n, 0)
+        for begin in range(-scale.pad, max(n, 0)):
+            some = [(ranks[i], i) for i in range(max(begin, 0), min(begin + scale.neighbours, n)) if ranks[i] < 1024]
+            if some:
+                popular[min(some)[1]] += 1
+        return [text[i : i + scale.window] for i in range(max(n, 0)) if popular[i] >= scale.popular]
+
+    large, small = chosen(rare_features.LARGE), chosen(rare_features.SMALL)
+    if len(text) < 16:
+        return large, None
+    return large, small or [text[i : i + 16] for i in range(len(text) - 15)]
+
+
+def test_op3_features_are_selected_by_rarity(docs):
+    rng, n_large, n_small = random.Random(2), 0, 0
+    texts = [t.encode() for t in docs.values() if len(t) < 1500][:60] + [b"", b"short", b"a" * 40, b"abcdefghijklmnopqrstuvwxyz" * 9, bytes(rng.randrange(256) for _ in range(300))]
+    for text, found in zip(texts, rare_features.features(texts), strict=True):
+        large, small = plain_features(text)
+        key = lambda w: int(rare_features._hash(np.frombuffer(w.ljust(64, b"\0"), np.uint8).reshape(1, -1))[0])
+        share = 1 - len(large) / rare_features.FADE
+        want = [key(w) for w in large]
+        if share > 0:
+            shorter = [key(w) for w in small] if small is not None else [int.from_bytes(hashlib.sha256(text).digest()[:8], "little")]
+            want += shorter if share == 1 else [h for h in shorter if h < int(share * (1 << 64))]
+        assert found.tolist() == list(dict.fromkeys(want)), text[:50]
+        n_large, n_small = n_large + len(large), n_small + len(want) - len(large)
+    assert n_large > 100 and n_small > 100
+
+
 def test_op3_no_step():
     """A few bytes more change the features of a text little, whatever its length."""
     rng = random.Random(9)
