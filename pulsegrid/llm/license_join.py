@@ -1,6 +1,7 @@
 """License scans as an exact set-similarity join, in DataFrame functions alone.
 
-Blocks of text and license templates are sets of words. A block matches a template when it holds at least `threshold` of its words.
+Blocks of text and license templates are sets of words; a block is SPAN lines, wherever it begins, so that a notice may be wrapped. A block
+matches a template when it holds at least `threshold` of its words.
 Words are ranked by how many blocks of the corpus hold them, rarest first. Of a template with n words of which a must be
 held, any match holds one of its n - a + 1 rarest words; blocks have as long a prefix. Only pairs that share a
 word of both prefixes are joined, those whose first shared words leave room for a words stay, and these are verified.
@@ -19,7 +20,7 @@ from pulsegrid.llm.common import ascii_lower, stage, texts
 #: The phrases whose places are counted, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Lines of public license notices, with the labels that the method gives.
+#: Lines and sentences of public license notices, with the labels that the method gives.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("mit", "Released under the MIT License"),
@@ -31,9 +32,22 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
 THRESHOLD = 0.8
+#: Lines in a block.
+SPAN = 3
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -82,7 +96,7 @@ def containment_join(blocks: DataFrame, templates: list[tuple[str, list[str], fl
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: its words, the places of the base phrases, labels and score.
 
-    docs: doc_id, text (null: empty; equal or null ids are rows of their own). Templates are held against lines, phrases as templates of
+    docs: doc_id, text (null: empty; equal or null ids are rows of their own). Templates are held against blocks of SPAN lines, phrases as templates of
     which all words are needed against whole texts; for texts that the join finds, the places are counted. first_word and last_word
     are null where no phrase stands. score: the greatest containment found, 1 where a phrase stands, else 0. An empty
     table gives no rows. Texts are read once; what the join needs of them is written to the shared folder.
@@ -94,7 +108,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     low = texts(docs).select("doc_id", ascii_lower(F.col("text")).alias("low"))
     body = F.trim(F.regexp_replace("low", _BETWEEN, " "))
     lines = F.transform(F.split("low", "\n"), lambda x: F.array_intersect(vocabulary, F.split(x, _BETWEEN)))
-    rows = low.select("doc_id", F.when(body == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), body, F.lit(" "))).alias("s"), F.filter(lines, lambda x: F.size(x) > 0).alias("lines"))
+    rows = low.select("doc_id", F.when(body == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), body, F.lit(" "))).alias("s"), lines.alias("lines"))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     rows = rows.select("doc_id", "s", "lines", F.array_distinct(F.flatten("lines")).alias("words"), (spaces(F.col("s")) - 1).cast("long").alias("n_words"))
     # cut before each phrase: the words of the first piece stand before the first place, those of the last piece from the last place on
@@ -106,12 +120,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     places = F.struct((F.size("cut") - 1).cast("long").alias("n"), spaces(F.element_at("cut", 1)).cast("long").alias("first"), (F.col("n_words") - spaces(F.element_at("cut", -1))).cast("long").alias("last"), "found")
     kept, _ = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "lines", "words", F.when(F.size("cut") > 1, places).alias("places")), "license-words")
 
-    by_line = containment_join(kept.select("row", F.posexplode("lines").alias("line", "words")).select(F.struct("row", "line").alias("block"), "words"), templates)
+    none = F.array().cast("array<string>")
+    spans = F.transform("lines", lambda x, i: F.array_distinct(F.concat(x, *[F.coalesce(F.get("lines", i + k), none) for k in range(1, SPAN)])))
+    blocks = kept.select("row", F.posexplode(spans).alias("line", "words")).where(F.size("words") > 0)
+    by_line = containment_join(blocks.select(F.struct("row", "line").alias("block"), "words"), templates)
     by_text = containment_join(kept.where("words is not null").select(F.struct("row", F.lit(-1).alias("line")).alias("block"), "words"), phrases)
     label = F.substring_index("template", ":", -1)
     hits = by_line.union(by_text).select(F.col("block.row").alias("row"), label.alias("label"), F.col("template").startswith("*").alias("base"), "containment")
     hits = hits.groupBy("row").agg(F.collect_set(F.when(~F.col("base"), F.col("label"))).alias("own"), F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base"), F.max(F.when(~F.col("base"), F.col("containment"))).alias("score"))
-    none = F.array().cast("array<string>")
     out = kept.select("row", "doc_id", "n_words", "places").join(hits, "row", "left")
     base = F.coalesce(F.array_intersect("places.found", "base"), none)
     out = out.select("doc_id", "n_words", "places", "score", base.alias("base"), F.coalesce("own", none).alias("own"))

@@ -25,9 +25,8 @@ from pulsegrid.llm.common import shuffle_partitions, stage, texts
 
 MAGIC, BITS = b"RPS1", 20
 #: Ids of a shard, rules made in a round, and how often a pair must stand in the shard to become one: a rule costs 8 bytes in the file
-#: and a pair replaced saves 2, so rules for rarer pairs gain little, while rounds go on and on.
-#: A rule costs 8 bytes and a pair replaced saves 2, so a pair that stands five times pays.
-SHARD_IDS, RULES_A_ROUND, LEAST = 1 << 20, 3000, 5
+#: and a pair replaced saves 2, so a pair that stands five times pays.
+SHARD_IDS, RULES_A_ROUND, LEAST = 1 << 20, 6000, 5
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
 

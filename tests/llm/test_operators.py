@@ -77,6 +77,26 @@ def test_op1_phrases_side_by_side(spark):
         check_base(row, texts[i])
 
 
+def test_op1_blocks_of_lines(spark):
+    """A notice may stand in one line or be wrapped over as many as a block has; every block that holds enough of a template counts, and no other."""
+    notice = license_join.TEMPLATES[6][1].split()
+    third = len(notice) // 3
+    wrapped = "\n".join(" ".join(notice[i : i + third]) for i in range(0, len(notice), third))
+    texts = {
+        0: " ".join(notice), 1: "intro\n" + wrapped + "\nmore", 2: wrapped.replace("\n", "\n\n\nother words\n"), 3: " ".join(notice[: len(notice) // 2]), 4: None, 5: "\n\n",
+        6: "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either", 7: "plain words of a letter\nto a friend",
+    }
+    got = by_id(license_join.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    for i, text in texts.items():
+        lines, own = [set(WORD.findall(lower(x))) for x in (text or "").split("\n")], set()
+        blocks = [set().union(*lines[k : k + license_join.SPAN]) for k in range(len(lines))]
+        for label, template in license_join.TEMPLATES:
+            words = set(WORD.findall(lower(template)))
+            own |= {label} if any(len(b & words) >= license_join.THRESHOLD * len(words) - 1e-9 for b in blocks) else set()
+        assert set(filter(None, got[i]["labels"].split(","))) - set(filter(None, got[i]["base_labels"].split(","))) == own - set(filter(None, got[i]["base_labels"].split(","))), i
+    assert "cc-by-4.0" in got[0]["labels"] and "cc-by-4.0" in got[1]["labels"] and got[2]["labels"] == got[7]["labels"] == "" and "lgpl" in got[6]["labels"]
+
+
 def test_op1_join_is_exact(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(30)]
