@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import evidence, tags
 from pulsegrid.sources import inputs
 from pulsegrid.sources.inputs import LOG_LINES
+from pulsegrid.sources.staged import shared_path
 
 KINDS = ["view", "click", "signup", "purchase", "error"]
 
@@ -71,12 +72,29 @@ def score_categories(spark, d):  # noqa: ANN001, ANN201
     return evidence.score_categories(reference, seen).withColumn("relative_error", F.round("relative_error", 9))
 
 
-def tag_delta(spark, d):  # noqa: ANN001, ANN201
+def _tags(spark, d):  # noqa: ANN001, ANN202
     old = inputs.table(spark, d, "customer").select(F.col("c_custkey").alias("track"), F.format_string("%.0f", F.round("c_acctbal", 0)).alias("old"))
     new = inputs.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("track")).agg(F.round(F.max("o_totalprice") / 50, 3).alias("rate"), F.bool_or(F.col("o_orderstatus") == "P").alias("held"), F.round(F.max("o_totalprice") / 4000, 2).alias("confidence"))
+    return new, old
+
+
+def tag_delta(spark, d):  # noqa: ANN001, ANN201
+    new, old = _tags(spark, d)
     return tags.write(tags.delta(new, old, 0), "", dry_run=True)
 
 
+def write_then_resolve(spark, d):  # noqa: ANN001, ANN201
+    """What is left of the review list, and the tags, once a run's changes are written, and written again in vain."""
+    new, old = _tags(spark, d)
+    path = shared_path(spark, "tags")
+    changes = tags.delta(new, old, 0)
+    tags.publish(changes, path, "r1")
+    tags.publish(changes.limit(0), path, "r1")
+    review = inputs.table(spark, d, "customer").select(F.col("c_custkey").alias("track"))
+    left = tags.resolved(review, path, "r1").withColumn("waiting", F.lit(True))
+    return tags.current(old, path, ["r1", "r2"]).join(left, "track", "left").select("track", F.col("old").alias("tag"), F.coalesce("waiting", F.lit(False)).alias("waiting"))
+
+
 def tag_scale(spark, d):  # noqa: ANN001, ANN201
     old = inputs.table(spark, d, "customer").select(F.col("c_custkey").alias("track"), F.when(F.col("c_mktsegment") == "BUILDING", F.lit("120d")).otherwise(F.format_string("%.2f", "c_acctbal")).alias("old"))
     return tags.scaled(old, 0.5, 1)
@@ -97,10 +115,11 @@ _P = r"'^[^:]*: \[([^\]]*)\] (\S+) (.*)$'"
 _EV = f"""ll AS ({LOG_LINES}), le AS (SELECT regexp_extract(line, {_P}, 1) AS label, regexp_extract(line, {_P}, 2) AS event, regexp_extract(line, {_P}, 3) AS payload FROM ll WHERE regexp_matches(line, {_P})),
 ev AS (SELECT label, event, {_FIELD('id')}::BIGINT AS id, replace({_FIELD('value')}, ',', '.')::DOUBLE AS value, {_FIELD('k')}::INT AS k, {_FIELD('reason')} AS reason FROM le)"""
 _RUN = lambda op: f"(SELECT o_custkey AS track, CASE WHEN max(o_totalprice) > 300000 THEN 'WRITE' ELSE 'HOLD' END AS state, round(avg(o_totalprice), 2) AS rate FROM orders WHERE o_orderstatus {op} 'F' GROUP BY 1)"
+_CHANGES = """WITH n AS (SELECT o_custkey AS track, round(max(o_totalprice) / 50, 3) AS rate, bool_or(o_orderstatus = 'P') AS held, round(max(o_totalprice) / 4000, 2) AS confidence FROM orders GROUP BY 1), j AS (SELECT track, format('{:.0f}', round(c_acctbal, 0)) AS old, format('{:.0f}', round(rate, 0)) AS new, held, rate, confidence FROM n LEFT JOIN customer ON track = c_custkey)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        log_events, log_sessionise, log_violations, reason_histogram, run_identity, run_transitions, multiset_overlap, label_resolution, track_ordinals, review_reconcile, score_categories, tag_delta, tag_scale, safe_batch, tag_presence,
+        log_events, log_sessionise, log_violations, reason_histogram, run_identity, run_transitions, multiset_overlap, label_resolution, track_ordinals, review_reconcile, score_categories, tag_delta, write_then_resolve, tag_scale, safe_batch, tag_presence,
     )
 }
 ORACLE = {
@@ -118,8 +137,9 @@ ORACLE = {
     "score_categories": """WITH s AS (SELECT l_partkey AS ordinal, round(avg(l_quantity), 3) AS bpm, max(l_discount) < 0.09 AS held FROM lineitem GROUP BY 1), j AS (SELECT p_partkey AS ordinal, CASE WHEN p_size > 3 THEN p_size + 10.0::DOUBLE END AS r, bpm, held FROM part JOIN s ON p_partkey = ordinal)
       SELECT ordinal, CASE WHEN r IS NULL THEN CASE WHEN held OR bpm <= 0 THEN 'correct_abstention' ELSE 'false_positive' END WHEN held OR bpm <= 0 THEN 'abstained' WHEN abs(bpm - r) / r <= 0.02 THEN 'within_two_percent'
       WHEN abs(bpm / r - 0.5) <= 0.04 OR abs(bpm / r - 2) <= 0.04 THEN 'half_double_alias' ELSE 'other' END AS category, round(abs(bpm - r) / r, 9) AS relative_error FROM j""",
-    "tag_delta": """WITH n AS (SELECT o_custkey AS track, round(max(o_totalprice) / 50, 3) AS rate, bool_or(o_orderstatus = 'P') AS held, round(max(o_totalprice) / 4000, 2) AS confidence FROM orders GROUP BY 1), j AS (SELECT track, format('{:.0f}', round(c_acctbal, 0)) AS old, format('{:.0f}', round(rate, 0)) AS new, held, rate, confidence FROM n LEFT JOIN customer ON track = c_custkey)
+    "tag_delta": f"""{_CHANGES}
       SELECT track, old, new, round(least(100, greatest(0, confidence)))::INT AS confidence FROM j WHERE NOT held AND rate > 0 AND new IS DISTINCT FROM old""",
+    "write_then_resolve": f"""{_CHANGES}, w AS (SELECT track, new FROM j WHERE NOT held AND rate > 0 AND new IS DISTINCT FROM old) SELECT c_custkey AS track, coalesce(new, format('{{:.0f}}', round(c_acctbal, 0))) AS tag, new IS NULL AS waiting FROM customer LEFT JOIN w ON track = c_custkey""",
     "tag_scale": "SELECT c_custkey AS track, format('{:.2f}', c_acctbal) AS old, format('{:.1f}', round(format('{:.2f}', c_acctbal)::DOUBLE * 0.5::DOUBLE, 1)) AS new FROM customer WHERE c_mktsegment <> 'BUILDING' AND format('{:.2f}', c_acctbal)::DOUBLE > 0",
     "safe_batch": "SELECT p_brand AS batch, count(*) AS files, NOT bool_or(p_size > 48 AND p_type = 'PROMO') AS safe FROM part GROUP BY 1",
     "tag_presence": "SELECT p_brand, count(*) AS n, bool_or(p_size > 45) AS any_tag, bool_and(p_size > 1) AS all_tag FROM part GROUP BY 1",
