@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import relations
-from pulsegrid.operators import board, families, gates, primary
+from pulsegrid.operators import board, competition, families, gates, primary, releases
 from pulsegrid.plans.families import _PULSE, _pulse, fold_sql
 from pulsegrid.sources import inputs
 from pulsegrid.sources.inputs import CANDIDATES
@@ -23,6 +23,10 @@ PARTIAL = "SELECT l_orderkey AS track, l_linenumber AS segment, floor(l_quantity
 _PARTS = """SELECT track, max(CASE WHEN place = 1 THEN rate END) AS part_coarse, max(CASE WHEN place = 1 THEN score_sum END) AS part_score, max(CASE WHEN place = 1 THEN best END) AS part_local, max(CASE WHEN place = 1 THEN hit1 END) AS part_rank1, max(CASE WHEN place = 1 THEN hit5 END) AS part_top5, max(CASE WHEN place = 1 THEN segs END) AS part_segments, max(CASE WHEN place = 2 THEN rate END) AS part_runner,
   coalesce(max(CASE WHEN place = 2 THEN score_sum END) / nullif(max(CASE WHEN place = 1 THEN score_sum END), 0), 0) AS part_runner_ratio FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round(score_sum, 9) DESC, rate) AS place FROM
   (SELECT track, rate, sum(score) AS score_sum, max(score) AS best, CAST(count(CASE WHEN rank = 1 THEN 1 END) AS DOUBLE) AS hit1, CAST(count(CASE WHEN rank <= 5 THEN 1 END) AS DOUBLE) AS hit5, CAST(count(DISTINCT segment) AS DOUBLE) AS segs FROM {partial} GROUP BY track, rate) AS q1) AS q2 WHERE place <= 2 GROUP BY track"""
+#: A track's best partial bars as the releases after the policy ask for them; a bar's exact rate stands near it.
+_TOPS = f"""SELECT q2.track AS track, q2.rate + CAST(q2.track % 3 AS DOUBLE) * 0.25 AS rate, q2.rate AS coarse, least(best * 4, CAST(1 AS DOUBLE)) AS local, score_sum, coalesce(score_sum / nullif(most, 0), 0) AS score_ratio, place AS family_rank, hit5 AS top5, segs AS segments, total, current_rate AS board_rate
+  FROM (SELECT *, max(score_sum) OVER (PARTITION BY track) AS most, max(segs) OVER (PARTITION BY track) AS total, row_number() OVER (PARTITION BY track ORDER BY round(score_sum, 9) DESC, rate) AS place FROM
+  (SELECT track, rate, sum(score) AS score_sum, max(score) AS best, count(CASE WHEN rank <= 5 THEN 1 END) AS hit5, count(DISTINCT segment) AS segs FROM {{partial}} GROUP BY track, rate) AS q1) AS q2 JOIN {{decided}} AS d ON q2.track = d.track WHERE place <= {releases.KEPT}"""
 _TOP = """SELECT track, max(CASE WHEN family_rank = 1 THEN rate END) AS fam_rate, max(CASE WHEN family_rank = 1 THEN score_sum END) AS fam_score, coalesce(max(CASE WHEN family_rank = 2 THEN score_sum END), 0) AS fam_runner, max(CASE WHEN family_rank = 1 THEN support END) AS fam_support,
   max(CASE WHEN family_rank = 1 THEN candidate_support END) AS fam_candidates, count(CASE WHEN abs(rate / nullif(top, 0) - CAST(1.5 AS DOUBLE)) <= 0.03 THEN 1 END) > 0 AS fam_halves FROM (SELECT *, max(CASE WHEN family_rank = 1 THEN rate END) OVER (PARTITION BY track) AS top FROM {families}) AS q GROUP BY track"""
 _SHARES = "SELECT track, CAST(count(DISTINCT segment) AS DOUBLE) AS shares_total, CAST(count(DISTINCT CASE WHEN winner THEN segment END) AS DOUBLE) AS shares_won FROM {rows} GROUP BY track"
@@ -70,7 +74,8 @@ def primary_select(spark, d):  # noqa: ANN001, ANN201
     return _selected(spark, _candidates(spark, d)[0]).select("track", "lane", "selector", "rate", "bits", "held", "reason")
 
 
-def decision_chain(spark, d):  # noqa: ANN001, ANN201
+def _chain(spark, d):  # noqa: ANN001, ANN202
+    """(decisions, measured candidates, context) of all tracks."""
     board_, routes = _candidates(spark, d)
     selected = staged(_selected(spark, board_), "selected")
     full = spark.sql(FULL, board=board_)
@@ -81,13 +86,39 @@ def decision_chain(spark, d):  # noqa: ANN001, ANN201
     parts = spark.sql(_PARTS, partial=spark.sql(PARTIAL, lineitem=inputs.table(spark, d, "lineitem")))
     more = routes.select("track", "fam_winners", "fam_share", "fam_halves")
     context = spark.sql(DECIDED_BY, selected=selected.join(more, "track"), parts=parts)
-    return gates.decide(measured, context)
+    return gates.decide(measured, context), measured, context
+
+
+def decision_chain(spark, d):  # noqa: ANN001, ANN201
+    return _chain(spark, d)[0]
+
+
+def decision_released(spark, d):  # noqa: ANN001, ANN201
+    decided, measured, context = _chain(spark, d)
+    decided, context = staged(decided, "decided"), staged(context.select("track", "centre", "spread", "matched", "generic"), "context")
+    top = staged(spark.sql(_TOPS, partial=spark.sql(PARTIAL, lineitem=inputs.table(spark, d, "lineitem")), decided=decided), "partial-bars")
+    return releases.cross_view(releases.exact_top(decided, context, top), measured, top)
 
 
 def gate_counts(spark, d):  # noqa: ANN001, ANN201
     return decision_chain(spark, d).groupBy("reason", "written_as").agg(F.count("*").alias("tracks"))
 
 
+def alias_competition(spark, d):  # noqa: ANN001, ANN201
+    rows = inputs.candidates(spark, d)
+    shares = spark.sql(_SHARES, rows=rows).select("track", F.col("shares_total").alias("windows"), F.col("shares_won").alias("won"))
+    found = competition.options(families.families(rows.where("score > 0")), shares, spark.sql(ROUTES, orders=inputs.table(spark, d, "orders")))
+    return competition.winners(found).withColumns({c: F.round(c, 4) for c in ("family_rate", "rate", "score", "runner_up_ratio")})
+
+
+_PRIOR = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in competition.PRIOR.items()) + " END"
+_OPTIONS = f"""c AS ({CANDIDATES}), {fold_sql('SELECT * FROM c')}, sh AS ({_SHARES.replace('{rows}', 'c')}), ro AS ({ROUTES.replace('{orders}', 'orders')}),
+f1 AS (SELECT track, max(CASE WHEN family_rank = 1 THEN score_sum END) AS top, coalesce(max(CASE WHEN family_rank = 2 THEN score_sum END), 0) AS runner, max(CASE WHEN family_rank = 1 THEN support END) AS consensus, max(CASE WHEN family_rank = 1 THEN candidate_support END) AS first_support FROM fam GROUP BY track),
+op AS (SELECT fam.track, family_rank, fam.rate AS family_rate, relation, fam.rate * ratio AS rate, round(abs(fam.rate * ratio - (low + high) * 0.5::DOUBLE), 9) AS distance, shares_won / shares_total AS share, first_support / shares_won AS support_1,
+  round(score_sum / top * 42 + support / shares_won * 30 + (0.4::DOUBLE * least(1, greatest(0, consensus / shares_total)) + 0.35::DOUBLE * least(1, greatest(0, ln(1 + CASE WHEN runner > 0 THEN top / runner ELSE top END) / ln(9))) + 0.25::DOUBLE * least(1, greatest(0, 1 - runner / top))) * 20
+  + {_PRIOR} * 13 + greatest(0, 1 - least(1, abs(fam.rate * ratio - (low + high) * 0.5::DOUBLE) / (greatest(1, high - low) * 0.5::DOUBLE))) * 7 - (family_rank - 1) * 1.75::DOUBLE, 9) AS score
+  FROM fam JOIN f1 USING (track) JOIN sh USING (track) JOIN ro USING (track), {relations.sql_values()} WHERE top > 0 AND shares_won > 0 AND score_sum > 0 AND fam.rate * ratio BETWEEN greatest(low, 40) AND least(high, 220)),
+ow AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next, count(*) OVER (PARTITION BY track) AS options FROM op WINDOW w AS (PARTITION BY track ORDER BY score DESC, family_rank, distance, rate))"""
 _B = primary.Primary(spark=False)
 _G = gates.Engine(spark=False)
 RAW = f"""c AS ({CANDIDATES}), {_PULSE}, cn AS ({CONTINUOUS.replace('{lineitem}', 'lineitem')}), x AS (SELECT track, round(rate * ratio / 0.25) * 0.25 AS rate, bit, segment, winner, score, quant FROM c, {relations.sql_values()} WHERE rate * ratio BETWEEN 40 AND 220),
@@ -103,9 +134,24 @@ pn AS (SELECT a.track, a.rate, round(greatest(max(b.base * (1 - abs(b.rate / a.r
 CHAIN = f"""{SELECTED}, fu AS MATERIALIZED ({FULL.replace('{board}', 'cb')}), {_PARTNERS}, me AS MATERIALIZED ({MEASURED.replace('{full}', 'fu').replace('{partners}', 'pn')}), pt AS ({_PARTS.replace('{partial}', f'({PARTIAL.replace("{lineitem}", "lineitem")}) AS pl')}),
 sx AS (SELECT se.*, fam_winners, fam_share, fam_halves FROM se JOIN rt USING (track)), cx AS MATERIALIZED ({DECIDED_BY.replace('{selected}', 'sx').replace('{parts}', 'pt')}), fa AS MATERIALIZED ({_G.facts('me', 'cx')}), ch AS MATERIALIZED ({_G.chosen('me', 'fa')}), de AS MATERIALIZED ({_G.decided('ch')}), fi AS ({_G.final('de')})"""
 
-QUERIES = {f.__name__: f for f in (primary_select, decision_chain, gate_counts)}
+_T, _X = releases.TOP, releases.CROSS
+_ERR = "least(" + ", ".join(f"abs(greatest(rate, board_rate) / nullif(least(rate, board_rate), 0) / {q} - 1)" for q in ("(4 / 3::DOUBLE)", "1.5::DOUBLE", "2::DOUBLE")) + ")"
+_SURE = "round(least(99, greatest(50, support * 45 + local * 20 + 45)), 6)"
+RELEASED = f"""{CHAIN}, fz AS MATERIALIZED (SELECT * FROM fi), tz AS (SELECT * FROM ({_TOPS.replace('{partial}', f'({PARTIAL.replace("{lineitem}", "lineitem")}) AS pl').replace('{decided}', 'fz')})),
+e0 AS (SELECT tz.*, max(local) OVER (PARTITION BY tz.track) AS best_local, abs(tz.rate - centre) / spread AS z FROM tz JOIN fz USING (track) JOIN cx ON cx.track = tz.track WHERE fz.reason = 'family_conflict_hold' AND cx.matched AND NOT cx.generic AND centre > 0 AND spread > 0 AND tz.rate > 0 AND total > 0),
+e1 AS (SELECT *, segments / total AS support, {_ERR} <= {_T['relation']} AND z <= {_T['rational_z']} AS rational FROM e0 WHERE top5 >= 1 AND segments / total >= 1 AND local >= {_T['local']} AND score_ratio >= {_T['ratio']} AND local / nullif(best_local, 0) >= {_T['to_max']}),
+e2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY rational DESC, local DESC, score_ratio DESC, family_rank, rate) AS n FROM e1 WHERE rational OR z <= {_T['centre_z']}) WHERE n = 1),
+d1 AS (SELECT fz.track, CASE WHEN e2.rate IS NULL THEN reason WHEN rational THEN 'exact_rational_release' ELSE 'exact_centre_release' END AS reason, coalesce(e2.rate, final_rate) AS final_rate, would_write OR e2.rate IS NOT NULL AS would_write, e2.rate AS new_rate, {_SURE} AS sure, action, kind, candidate_rate, current_rate, written_as, confidence FROM fz LEFT JOIN e2 USING (track)),
+d2 AS (SELECT track, reason, CASE WHEN new_rate IS NULL THEN action ELSE 'override' END AS action, CASE WHEN new_rate IS NULL THEN kind ELSE 'override' END AS kind, coalesce(new_rate, candidate_rate) AS candidate_rate, current_rate, final_rate, would_write, CASE WHEN new_rate IS NULL THEN written_as ELSE 'override' END AS written_as, CASE WHEN new_rate IS NULL THEN confidence ELSE sure END AS confidence FROM d1),
+v AS (SELECT * FROM (SELECT d2.track, k_rate, k_support AS support, k_local AS local, row_number() OVER (PARTITION BY d2.track ORDER BY round(score_sum, 9) DESC, round(abs(k_rate - coarse), 9), k_rate DESC, coarse DESC) AS n FROM d2 JOIN me USING (track) JOIN tz USING (track) WHERE would_write AND final_rate > 0 AND k_rate / final_rate BETWEEN {_X['family'][0]}::DOUBLE AND {_X['family'][1]}::DOUBLE
+  AND k_local >= {_X['local']} AND k_support >= {_X['support']} AND k_cont >= {_X['cont']} AND k_cont_section >= {_X['cont_section']} AND score_ratio >= {_X['ratio']} AND top5 / total >= {_X['top5']} AND segments / total >= {_X['segments']} AND round(abs(k_rate - coarse), 9) <= {_X['bridge']}) WHERE n = 1)"""
+QUERIES = {f.__name__: f for f in (primary_select, decision_chain, decision_released, gate_counts, alias_competition)}
 ORACLE = {
     "primary_select": f"WITH RECURSIVE {SELECTED} SELECT track, lane, selector, rate, bits, held, reason FROM se",
     "decision_chain": f"WITH RECURSIVE {CHAIN} SELECT * FROM fi",
+    "decision_released": f"""WITH RECURSIVE {RELEASED} SELECT track, CASE WHEN k_rate IS NULL THEN reason ELSE 'cross_view_release' END AS reason, CASE WHEN k_rate IS NULL THEN action ELSE 'override' END AS action, CASE WHEN k_rate IS NULL THEN kind ELSE 'override' END AS kind, coalesce(k_rate, candidate_rate) AS candidate_rate, current_rate,
+      coalesce(k_rate, final_rate) AS final_rate, would_write, CASE WHEN k_rate IS NULL THEN written_as ELSE 'override' END AS written_as, CASE WHEN k_rate IS NULL THEN confidence ELSE {_SURE} END AS confidence FROM d2 LEFT JOIN v USING (track)""",
+    "alias_competition": f"""WITH RECURSIVE {_OPTIONS} SELECT track, options, family_rank::INT AS family_rank, round(family_rate, 4) AS family_rate, relation, round(rate, 4) AS rate, round(score, 4) AS score, round(round(coalesce(next / score, 0), 9), 4) AS runner_up_ratio,
+      family_rank = 1 AND relation = 'three_quarters' AND share >= 0.65 AND support_1 >= 0.85 AND coalesce(next / score, 0) <= 0.45 AND rate BETWEEN 40 AND 220 AS clear FROM ow WHERE place = 1""",
     "gate_counts": f"WITH RECURSIVE {CHAIN} SELECT reason, written_as, count(*) AS tracks FROM fi GROUP BY ALL",
 }

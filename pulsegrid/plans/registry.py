@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import board, catalogue, decisions, evidence, families, hypotheses, routing, selectors, series, sessions, signals
+from pulsegrid.plans import board, catalogue, decisions, evidence, families, hypotheses, ownership, routing, selectors, series, sessions, signals
 
-_MODULES = (board, catalogue, families, selectors, decisions, series, hypotheses, routing, evidence, sessions, signals)
+_MODULES = (board, catalogue, families, selectors, decisions, series, hypotheses, routing, ownership, evidence, sessions, signals)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
