@@ -117,13 +117,16 @@ def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tup
     some = members.join(met.select("a", "b", "linked"), ["a", "b"])
     loose = some.groupBy("key").agg(F.bool_and("linked").alias("done"), F.count("*").alias("n")).where("not done and n > 1").select("key", "n")
     some, some_path = stage(some.join(loose, "key").select("key", "a", "b", "n", "linked"), "line-loose", members_path)
+    # what the pivots of all its bands connect a line with need not be found again
+    firsts = components(found, name="line-firsts")
     few = some.where(F.col("n") < FEW)
     x, y = (few.select("key", F.col("b").alias(c), F.col("linked").alias(f"l{c}")) for c in "ab")
-    direct = x.join(y, "key").where("a < b and not (la and lb)").select("a", "b")
+    direct = _of_two(x.join(y, "key").where("a < b and not (la and lb)").select("a", "b").distinct(), firsts)
     crowded = some.where(F.col("n") >= FEW).select("a", "b").distinct()
-    apart, apart_path = _differences(crowded.join(met, ["a", "b"]), held, threshold)
+    open_, open_path = _open(crowded, firsts, "line-open")
+    apart, apart_path = _differences(crowded.join(open_, "a", "left_semi").join(met, ["a", "b"]), held, threshold)
     # what a line of a crowd most likely links with; lines that are connected by now need not be compared
-    tried, tried_path = stage(compared(direct.union(_likely(apart)).distinct(), held).where(_meets(threshold)).select("a", "b").union(found), "line-links", met_path)
+    tried, tried_path = stage(compared(direct.union(_likely(apart)).distinct(), held).where(_meets(threshold)).select("a", "b").union(found), "line-links", met_path, open_path)
     labels = components(tried, name="line-labels")
     left, left_paths = _apart(crowded, apart, labels, threshold)
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
@@ -132,6 +135,20 @@ def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tup
     return stage(known, "line-links", held_path, apart_path, tried_path, some_path, *left_paths)
 
 
+def _of_two(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that labels (node, component) don't connect."""
+    for side in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _open(crowd: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(a), written, and where: the pivots of crowds (a, b) whose members and pivot aren't all connected."""
+    every = crowd.union(crowd.select("a", F.col("a").alias("b")).distinct()).join(labels.select(F.col("node").alias("b"), "component"), "b", "left")
+    label = F.coalesce("component", "b")
+    return stage(every.groupBy("a").agg(F.min(label).alias("least"), F.max(label).alias("most")).where("least < most").select("a"), name)
+
+
 def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, str]:
     """(pivot, b, linked, size, all, own, other, c, s, w, at), written, and where: the sets D(b) in which lines differ from their pivot, in parts.
 
@@ -208,13 +225,11 @@ def _apart(crowd: DataFrame, apart: DataFrame, labels: DataFrame, threshold: flo
     crowd: a (the pivot), b; apart: as from _differences(); labels: node, component. Crowds that are connected by now have nothing to compare:
     there is no frame where all are.
     """
-    named = labels.select(F.col("node").alias("b"), F.col("component").alias("label"))
-    label = F.coalesce("label", "b")
-    mixed = crowd.join(named, "b", "left").groupBy(F.col("a").alias("pivot")).agg(F.min(label).alias("least"), F.max(label).alias("most")).where("least < most").select("pivot")
-    mixed, mixed_path = stage(mixed, "line-mixed")
+    mixed, mixed_path = _open(crowd, labels, "line-mixed")
     if mixed.isEmpty():
         return None, [mixed_path]
-    open_ = apart.join(mixed, "pivot", "left_semi").join(named, "b", "left").withColumn("label", label)
+    named = labels.select(F.col("node").alias("b"), F.col("component").alias("label"))
+    open_ = apart.join(mixed.select(F.col("a").alias("pivot")), "pivot", "left_semi").join(named, "b", "left").withColumn("label", F.coalesce("label", "b"))
     bounded, path = stage(_bounded(open_, threshold), "line-bounds")
     own = bounded.where("as_x").drop("as_x", "as_y").join(_label_pairs(bounded, threshold), ["pivot", "s", "label"])
     met = _met(own, bounded.where("as_y").drop("as_x", "as_y").withColumnRenamed("label", "other"), ["pivot", "s", "other"], threshold)
