@@ -13,10 +13,9 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n rows the smallest row reachable over the pairs (a, b)."""
     label = np.arange(n)
     while len(a):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        for x in (a, b, before[a], before[b]):
-            np.minimum.at(label, x, least)
+        # only the ends of chains are hooked on: a row that were moved itself would lose what else its end is hooked to
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
         while (label != (up := label[label])).any():
             label = up
         apart = label[a] != label[b]
