@@ -93,8 +93,8 @@ PICKS = [
     Pick("first_one", f"spread > 0 AND k_place <= 1 AND {K_OFF} / nullif(spread, 0) <= 1.0 AND k_local >= 0.16", ("k_ready",)),
     Pick("anchor", f"centre > 0 AND {_off('k_rate', 'm_rate', f'CASE WHEN m_rate < centre THEN {FOUR_THIRDS} WHEN centre <= 88 THEN {HALF} ELSE {TWO_THIRDS} END')} <= 0.005 AND k_local >= 0.17 AND k_support >= 0.40",
          (f"-round({_off('k_rate', 'm_rate', f'CASE WHEN m_rate < centre THEN {FOUR_THIRDS} WHEN centre <= 88 THEN {HALF} ELSE {TWO_THIRDS} END')}, 9)", "k_support", "k_local", "k_proof", "k_base")),
-    Pick("near_half", "TRUE", (f"-round(abs(k_rate - m_rate * 0.5), 9)", "-k_place")),
-    Pick("own_half", "TRUE", (f"-round(abs(k_rate - cur_rate * 0.5), 9)", "-k_place")),
+    Pick("near_half", "TRUE", ("-round(abs(k_rate - m_rate * 0.5), 9)", "-k_place")),
+    Pick("own_half", "TRUE", ("-round(abs(k_rate - cur_rate * 0.5), 9)", "-k_place")),
     Pick("fast", f"abs(k_rate - cur_rate) <= 0.10 AND {_any('k', 'equivalent')} AND k_support >= 0.98 AND k_winner >= 0.50 AND k_local >= 0.35 AND k_pulse >= 0.35 AND k_pulse_section >= 0.80", ("k_local",)),
     Pick("slow", f"k_rate - c_rate BETWEEN -5 AND -0.5 AND k_local / greatest(c_local, 0.000001) >= 1.05 AND k_cont >= 0.17 AND k_cont_ratio >= 1.10 AND k_cont_stab >= 0.70 AND {_any('k', 'equivalent', 'half', 'two_thirds', 'three_quarters')}", ("k_cont", "k_cont_stab", "k_local", "k_support")),
     Pick("thin", f"k_rate - c_rate BETWEEN 10 AND 20 AND k_local / greatest(c_local, 0.000001) >= 1.0 AND k_support >= 0.06 AND k_winner >= 0.06 AND k_pulse >= 0.22 AND {_any('k', 'two_thirds')}", ("k_pulse", "k_local", "k_support")),
