@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scalars import positive
+from pulsegrid.functions.scalars import positive, rounded
 from pulsegrid.operators import folds
 
 #: Windows as a share of the chosen rate with their least width, and the weights of what is measured in them.
@@ -83,8 +83,8 @@ def longest_run(values: DataFrame, tolerance: float) -> DataFrame:
     new = F.when(F.col("x") - F.lag("x").over(o) <= tolerance, 0).otherwise(1)
     runs = values.withColumn("new", new).withColumn("island", F.sum("new").over(o.rowsBetween(Window.unboundedPreceding, 0)))
     sizes = runs.groupBy("track", "island").agg(F.count("*").alias("run"), F.avg("x").alias("mode"))
-    best = F.max(F.struct("run", (-F.round("mode", 9)).alias("m"))).alias("b")
-    return sizes.groupBy("track").agg(best).select("track", (-F.col("b.m")).alias("mode"), F.col("b.run").alias("run"))
+    best = F.max(F.struct("run", (-rounded(F.col("mode"), 9)).alias("m"), "mode")).alias("b")
+    return sizes.groupBy("track").agg(best).select("track", "b.mode", "b.run")
 
 
 def phase_sums(t: Column, period: Column) -> list[Column]:

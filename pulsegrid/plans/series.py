@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.scalars import rounded
 from pulsegrid.operators import grids, series
 from pulsegrid.sources import inputs
 from pulsegrid.sources.inputs import ONSETS, SPANS, UNIT_S
@@ -67,7 +68,8 @@ def ioi_median_rate(spark, d):  # noqa: ANN001, ANN201
 
 
 def run_mode(spark, d):  # noqa: ANN001, ANN201
-    return _round(series.longest_run(inputs.onsets(spark, d).select("track", F.col("value").alias("x")), 1.0))
+    found = series.longest_run(inputs.onsets(spark, d).select("track", F.col("value").alias("x")), 1.0)
+    return found.withColumn("mode", rounded(F.col("mode"), 6))
 
 
 def onset_union(spark, d):  # noqa: ANN001, ANN201
