@@ -140,7 +140,7 @@ def near_share(spark, d):  # noqa: ANN001, ANN201
 
 def spread_confidence(spark, d):  # noqa: ANN001, ANN201
     x = inputs.onsets(spark, d).select("track", (F.col("value") / 50 + 100).alias("x"))
-    return _r(series.spread_confidence(x, x.groupBy("track").agg(F.round(F.percentile("x", 0.5), 3).alias("rate"))))
+    return _r(series.spread_confidence(x, x.groupBy("track").agg(scalars.rounded(F.percentile("x", 0.5), 3).alias("rate"))))
 
 
 def hop_energy(spark, d):  # noqa: ANN001, ANN201
