@@ -6,6 +6,7 @@ import pytest
 
 from pulsegrid.plans import registry
 from pulsegrid.sources import inputs
+from pulsegrid.sources.staged import staged
 
 ONCE = ["board_raw", "board_collapse", "board_winner", "full_board", "lane_classify", "route_independent", "confidence", "nearest_target", "harmonic_partner", "policy_decision", "witness_semi_join", "review_candidates"]
 
@@ -25,3 +26,14 @@ def test_tasks_grow_with_the_rows(spark, sf_dir):
     n = inputs.table(spark, sf_dir, "lineitem").count()
     assert inputs.tasks(spark, sf_dir) == spark.sparkContext.defaultParallelism
     assert inputs.tasks(spark, sf_dir, share=100) == -(-n // 100) > 8
+
+
+def test_steps_of_a_staged_table_need_no_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 50 AS track", "id AS x")
+    kept = staged(rows.repartition(4, "track"), "kept-by-track", "track", 4)
+    found = kept.groupBy("track").sum("x")
+    assert exchanges(found) == [] and sorted(found.collect()) == sorted(rows.groupBy("track").sum("x").collect())
+
+
+def test_evidence_is_shuffled_while_narrow(spark, sf_dir):
+    assert len(exchanges(registry.QUERIES["board_evidence"](spark, sf_dir))) == 3
