@@ -43,3 +43,16 @@ def test_spread_confidence_at_a_tie_of_the_median(spark, tmp_path, low, high):
 @pytest.mark.parametrize("name", ["tag_delta", "write_then_resolve"])
 def test_tags_of_negative_zeros_and_of_tracks_without_one(spark, tmp_path, name):
     assert differences(spark, tmp_path, name, customer=CUSTOMERS, orders=ORDERS) == ([], [])
+
+
+def test_rounded_makes_no_decimal(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from pulsegrid.functions.scalars import rounded
+
+    values = [0.5, -0.5, 0.49999999999999994, 2.5, -2.5, 1e300, -1e300, 2.0**52 + 1, float("inf"), 0.0, -0.0, -0.2, None, float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 0)).collect()]
+    assert got[:-1] == [1.0, -1.0, 0.0, 3.0, -3.0, 1e300, -1e300, 2.0**52 + 1, float("inf"), 0.0, 0.0, 0.0, None] and math.isnan(got[-1])
+    assert math.copysign(1.0, got[11]) == 1.0
