@@ -39,6 +39,10 @@ def test_evidence_is_shuffled_while_narrow(spark, sf_dir):
     assert len(exchanges(registry.QUERIES["board_evidence"](spark, sf_dir))) == 3
 
 
+def test_a_lane_comes_with_the_board(spark, sf_dir):
+    assert len(exchanges(registry.QUERIES["conservative_select"](spark, sf_dir))) == 1
+
+
 def test_partners_are_made_in_one_pass(spark, sf_dir):
     plan = registry.QUERIES["harmonic_partner"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     windows, sorts = (re.findall(rf"\b{x} \[", plan) for x in ("Window", "Sort"))
