@@ -28,13 +28,19 @@ _LINE = r"^[^:]*: \[(.*)\] (\w*AnalysisProvenance|\w*SamplingPlan|\w*PrimarySegm
 
 
 def _field(name: str) -> Column:
-    x = F.regexp_extract("payload", rf"(?:^|\s){name}=(\S+)", 1)
-    return F.when(x != "", x)
+    """The first value of a field that has one. payload: read() makes spaced of it, with a space before and for each white space.
+
+    The text is cut at the name; a pattern runs only where a name stands without a value, as a later one may have one.
+    """
+    spaced = F.col("spaced")
+    found = F.substring_index(F.split_part(spaced, F.lit(f" {name}="), F.lit(2)), " ", 1)
+    x = F.when(F.contains(spaced, F.lit(f" {name}= ")) | F.endswith(spaced, F.lit(f" {name}=")), F.regexp_extract("payload", rf"(?:^|\s){name}=(\S+)", 1)).otherwise(found)
+    return F.when(F.contains(spaced, F.lit(f" {name}=")) & (x != ""), x)
 
 
 def _listed(name: str) -> Column:
     """A field of a comma-separated list; the comma of a decimal is followed by no space."""
-    x = F.regexp_extract("payload", rf"(?:^|, ){name}=(.*?)(?:, |$)", 1)
+    x = F.when(F.contains("payload", F.lit(f"{name}=")), F.regexp_extract("payload", rf"(?:^|, ){name}=(.*?)(?:, |$)", 1))
     return F.when(x != "", x)
 
 
@@ -46,8 +52,10 @@ def read(lines: DataFrame) -> DataFrame:
     """(run, label, kind, key, subsong and the fields of all kinds) of the lines (run, line) that are records; a mark at the file's begin is no part of a line."""
     line = F.regexp_replace("line", "^\uFEFF", "")
     found = lines.select("run", line.alias("line")).where(F.col("line").rlike(_LINE))
-    part = lambda i: F.regexp_extract("line", _LINE, i)
-    found = found.select("run", part(1).alias("label"), part(2).alias("name"), F.trim(part(3)).alias("payload"))
+    # no part of a record holds a line's end, so the three come by one pattern
+    parts = found.select("run", F.split(F.regexp_replace("line", _LINE, "$1\n$2\n$3"), "\n").alias("part"))
+    found = parts.select("run", F.get("part", F.lit(0)).alias("label"), F.get("part", F.lit(1)).alias("name"), F.trim(F.get("part", F.lit(2))).alias("payload"))
+    found = found.withColumn("spaced", F.concat(F.lit(" "), F.translate("payload", "\t\n\x0b\f\r", "     ")))
     kind = F.lit(None).cast("string")
     for end, name in KINDS.items():
         kind = F.when(F.col("name").endswith(end), name).otherwise(kind)
@@ -57,10 +65,13 @@ def read(lines: DataFrame) -> DataFrame:
     held = F.col("payload").startswith("no writable BPM")
     fields = {n: _whole(_field(n)) for names in NUMBERS.values() for n in names} | {n: decimal_comma(_field(n)) for names in REALS.values() for n in names}
     fields |= {
-        "key": _field("track_key"), "build": _field("build_id"), "policy_schema": _field("policy_schema"), "schema": _field("schema"), "reason": _field("reason"), "signature": F.concat_ws(" ", *[F.coalesce(_field(b), F.lit("?")) for b in BOARD]), "holes": F.size(F.filter(F.array(*[_field(b).isNull() for b in BOARD]), lambda x: x)),
+        "key": _field("track_key"), "build": _field("build_id"), "policy_schema": _field("policy_schema"), "schema": _field("schema"), "reason": _field("reason"), "fields": F.array(*[_field(b) for b in BOARD]),
         "decided": decimal_comma(_listed("final")), "decision_class": _listed("decision_class"), "total_ms": decimal_comma(_listed("total_ms")), "state": F.when(held, "HOLD").when(rate != "", "WRITE"), "rate": F.when(~held, decimal_comma(rate)),
     }
-    return found.withColumn("kind", kind).select("run", "label", "kind", *[v.alias(k) for k, v in fields.items()])
+    out = found.withColumn("kind", kind).select("run", "label", "kind", *[v.alias(k) for k, v in fields.items()])
+    # a board's fields are found once, for its signature and for what lacks
+    signature = F.array_join("fields", " ", "?")
+    return out.withColumn("signature", signature).withColumn("holes", F.size("fields") - F.size(F.array_compact("fields"))).drop("fields")
 
 
 #: Of each kind what must be there and in range; else the line is a violation by this name.

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import sessions
 from pulsegrid.sources import inputs
 
+#: Events whose lines one task parses.
+SHARE = 100_000
+
 _K = {True: "CAST(get_json_object(props, '$.k') AS BIGINT)", False: "CAST((props->>'$.k') AS BIGINT)"}
 _OF = "'host: [T' || (CASE WHEN u % 37 = 0 THEN u - 1 ELSE u END) || '] '"
 _KEY = "'track_key=' || (1000 + u) || ' subsong=' || (u % 2)"
@@ -25,7 +28,7 @@ def _lines(spark: bool) -> str:
         "v >= 0": "'Final Output: ' || CASE WHEN u % 5 = 0 THEN 'no writable BPM' ELSE (v % 90 + 60) || ',50 BPM, confidence=80' END",
     }
     own = [f"SELECT 'A' AS run, {_OF} || {line} AS line FROM us WHERE {where}" for where, line in per_user.items()]
-    events = f"SELECT user_id AS u, event_id, event_type, {_K[spark]} AS k FROM {{events}}"
+    events = f"SELECT user_id AS u, event_id, event_type, {_K[spark]} AS k FROM {{{'dealt' if spark else 'events'}}}"
     segment = f"SELECT 'A', {_OF} || 'RunPrimarySegment segment_index=' || k || ' segment_count=100 candidate=' || (event_id % 2) || ' onset_count=' || (event_id % 50) || ' reason=' || CASE WHEN event_id % 3 = 0 THEN 'insufficient_onsets' ELSE 'below_threshold' END FROM ev WHERE event_type = 'view'"
     boards = f"SELECT 'A', {_OF} || 'RunPolicyCandidateBoard track_key=' || (1000 + u) || ' schema={sessions.BOARD_SCHEMA} ' || {board} FROM ev WHERE event_type = 'click'"
     other = f"SELECT 'A', {_OF} || 'Unrelated id=' || event_id FROM ev WHERE event_type = 'error'"
@@ -33,7 +36,9 @@ def _lines(spark: bool) -> str:
 
 
 def _run(spark, d):  # noqa: ANN001, ANN202
-    return spark.sql(_lines(True), events=inputs.table(spark, d, "events"))
+    events = inputs.table(spark, d, "events")
+    # lines are made of events that are dealt out while narrow: a file of few row groups would keep few tasks at parsing
+    return spark.sql(_lines(True), events=events, dealt=events.repartition(inputs.tasks(spark, d, SHARE, "events"), "event_id"))
 
 
 def run_sessions(spark, d):  # noqa: ANN001, ANN201

@@ -115,3 +115,41 @@ def test_compared(spark):
             sessions.compared(before, other)
     with pytest.raises(Violation):
         sessions.compared(before, run(track(11, build="b2", passes=20), track(12, 1, build="b2", passes=20)), across_builds=True)
+
+
+ODD = {
+    "build_id=b1": "b1", "x build_id=b=2 y": "b=2", "build_id= build_id=b3": "b3", "x build_id=": None, "xbuild_id=b4": None, "x\tbuild_id=b5\tz": "b5", "build_id=b6 build_id=b7": "b6", "build_id=\u00a0b8": "\u00a0b8", "": None,
+    "build_id= x build_id=b9": "b9", "build_id=\r\fbuild_id=c1": None, "a build_id": None,
+}
+
+
+def test_fields_of_odd_payloads(spark):
+    """Of several the first that has a value; any white space parts them."""
+    import re
+
+    lines = [f"h: [{i}] MirAnalysisProvenance {x}" for i, x in enumerate(ODD)]
+    got = {r["label"]: r["build"] for r in sessions.read(frame(spark, lines)).collect()}
+    for i, (payload, want) in enumerate(ODD.items()):
+        if "\r" in payload:  # a line's end is in no record
+            assert str(i) not in got
+            continue
+        found = re.search(r"(?:^|[ \t\n\x0b\f\r])build_id=([^ \t\n\x0b\f\r]+)", payload)
+        assert got[str(i)] == want == (found and found[1])
+
+
+def test_board_signature(spark):
+    lines = [f"h: [a] MirPolicyCandidateBoard {BOARD}", f"h: [b] MirPolicyCandidateBoard {BOARD.replace('rows=', 'row=')}", "h: [c] MirPolicyDecision x=1"]
+    got = {r["label"]: (r["signature"], r["holes"]) for r in sessions.read(frame(spark, lines)).collect()}
+    whole = [str(i) for i in range(len(sessions.BOARD))]
+    assert got["a"] == (" ".join(whole), 0) and got["c"] == (" ".join("?" * len(whole)), len(whole))
+    assert got["b"] == (" ".join("?" if b == "rows" else i for i, b in zip(whole, sessions.BOARD)), 1)
+
+
+def test_lines_are_parsed_by_few_patterns(spark, sf_dir):
+    """Events are dealt out before they are lines, and no line meets its pattern more than twice."""
+    from pulsegrid.plans import sessions as plans
+
+    lines = plans._run(spark, sf_dir)
+    assert "event_id" in "".join(x for x in lines._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in x)
+    plan = sessions.read(frame(spark, ["h: [a] Decision: final=1"])).select("label", "kind", "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AnalysisProvenance|") == 2
