@@ -29,12 +29,23 @@ _ID_BITS = 62
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n, line): normalised lines with words; th is a hash of the whole text, n the line's number from 0."""
+    """(doc_id, th, n_lines, n, line): normalised lines; th is a hash of the whole text, n the line's number from 0 of n_lines.
+
+    Lines without words are left out, but for the first of a text: each row of docs has one line 0.
+    """
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("low"))
     odd = F.contains("low", F.lit("  ")) | F.contains("low", F.lit("\t")) | F.contains("low", F.lit("\r")) | F.contains("low", F.lit(" "))
     low = F.when(odd, F.regexp_replace("low", "[ \\t\\r\\f\\x0B ]+", " ")).otherwise(F.col("low"))
-    rows = rows.select("doc_id", "th", F.posexplode(F.split(low, "\n")).alias("n", "line"))
-    return rows.select("doc_id", "th", "n", F.trim("line").alias("line")).where("line <> ''")
+    rows = rows.select("doc_id", "th", F.split(low, "\n").alias("lines")).select("doc_id", "th", F.size("lines").cast("long").alias("n_lines"), "lines")
+    # outer: else Spark splits every text a second time, to see whether there is a line at all
+    rows = rows.select("doc_id", "th", "n_lines", F.posexplode_outer("lines").alias("n", "line"))
+    return rows.select("doc_id", "th", "n_lines", "n", F.trim("line").alias("line")).where("line <> '' or n = 0")
+
+
+def _staged(docs: DataFrame) -> tuple[DataFrame, str]:
+    """lines_of(docs), written, and where, with a line's id and a second hash, other; lines without words have no id."""
+    words = F.when(F.col("line") != "", F.shiftrightunsigned(F.xxhash64("line"), 64 - _ID_BITS))
+    return stage(lines_of(docs).select("doc_id", "th", "n_lines", "n", words.alias("id"), F.hash("line").alias("other"), "line"), "lines")
 
 
 def _wide(line: Column) -> Column:
@@ -47,13 +58,14 @@ def _last(wide: Column) -> Column:
     return F.greatest((F.octet_length(wide) / 2).cast("int") - WINDOW, F.lit(0))
 
 
-def _window(wide: Column, i: Column) -> Column:
-    return F.call_function("substring", wide, i * 2 + 1, F.lit(2 * WINDOW))
+def _window(wide: Column, at: Column) -> Column:
+    """The window that begins at a byte, from 1."""
+    return F.call_function("substring", wide, at, F.lit(2 * WINDOW))
 
 
 def shingles(line: Column) -> Column:
     """Distinct 64-bit hashes of a normalised line's shingles."""
-    return F.array_distinct(F.element_at(F.transform(F.array(_wide(line)), lambda w: F.transform(F.sequence(F.lit(0), _last(w)), lambda i: F.xxhash64(_window(w, i)))), 1))
+    return F.array_distinct(F.element_at(F.transform(F.array(_wide(line)), lambda w: F.transform(F.sequence(F.lit(1), _last(w) * 2 + 1, F.lit(2)), lambda at: F.xxhash64(_window(w, at)))), 1))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -63,7 +75,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     """
     wide = lines.select("id", _wide(F.col("line")).alias("w")).withColumn("last", _last(F.col("w")))
     runs = wide.select("id", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    hashes = [F.hash(_window(F.col("w"), F.least(F.col("i") + j, F.col("last")))).alias(f"h{j}") for j in range(STEP)]
+    hashes = [F.hash(_window(F.col("w"), F.least(F.col("i") + j, F.col("last")) * 2 + 1)).alias(f"h{j}") for j in range(STEP)]
     points = [(k << 32) // SIGNATURE - (1 << 31) for k in range(SIGNATURE)]
     least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(p)) for j in range(STEP)])).alias(f"m{k}") for k, p in enumerate(points)]
     return runs.select("id", "i", *hashes).groupBy("id").agg(F.count_if(F.col("i") == 0).alias("n"), *least)
@@ -103,8 +115,8 @@ def links(bands: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> tup
     - in a band of up to FEW members by comparing them with the rest of it,
     - in a larger one through the sets in which members differ from the pivot; see _differences().
     """
-    groups = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
-    members, members_path = stage(bands.join(groups, "key").where("node <> a").select("key", "a", F.col("node").alias("b")), "line-bands")
+    pivot = F.min("node").over(Window.partitionBy("key"))
+    members, members_path = stage(bands.select("key", pivot.alias("a"), F.col("node").alias("b")).where("a <> b"), "line-bands")
     nodes = members.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # copies of a line go where they stand, before any line is shuffled
     held = lines.dropDuplicates(["id"]).join(nodes.select(id_of(F.col("node")).alias("id"), "node"), "id").select("node", "line")
@@ -145,17 +157,18 @@ def _differences(crowd: DataFrame, lines: DataFrame, threshold: float) -> tuple[
     r = (1 - threshold) / (1 + threshold)
     a, b = lines.select(F.col("node").alias("a"), F.col("line").alias("la")), lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
     sets = crowd.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "linked", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
-    terms = sets.select(F.col("a").alias("pivot"), "b", "na", "nb", "linked", F.explode(F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))).alias("t"))
-    terms, terms_path = stage(terms, "line-terms")
-    held = terms.groupBy("pivot", "t").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(b))").alias("s"))
-    parts = terms.join(held, ["pivot", "t"]).groupBy("pivot", "b", "na", "nb", "linked", "c", "s").agg(F.count("*").alias("w"))
+    # outer: else Spark makes every set a second time, to see whether it is empty
+    terms = sets.select(F.col("a").alias("pivot"), "b", "na", "nb", "linked", F.explode_outer(F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))).alias("t")).where("t is not null")
+    same = Window.partitionBy("t", "pivot")
+    parts = terms.select("pivot", "b", "na", "nb", "linked", F.count("*").over(same).alias("c"), F.expr("bit_xor(xxhash64(b))").over(same).alias("s"))
+    parts = parts.groupBy("pivot", "b", "na", "nb", "linked", "c", "s").agg(F.count("*").alias("w"))
     line = Window.partitionBy("pivot", "b")
     parts = parts.withColumn("all", F.sum("w").over(line)).withColumn("at", F.sum("w").over(line.orderBy("c", "s")) - F.col("w"))
     own = F.when(~F.col("linked"), F.floor(r * F.col("nb") * (1 + 1 / threshold) + 1e-6) + 1)
     other = F.greatest(F.col("all") - F.ceil((F.col("all") + r * (F.col("na") - F.col("nb"))) / 2 - 1e-6) + 1, F.lit(1))
     parts = parts.where("c > 1").select("pivot", "b", "linked", F.col("nb").alias("size"), "all", own.alias("own"), other.alias("other"), "c", "s", "w", "at")
     parts = parts.where(F.col("at") < F.greatest(F.coalesce("own", F.lit(0)), "other"))
-    return stage(parts, "line-differences", terms_path)
+    return stage(parts, "line-differences")
 
 
 def _likely(apart: DataFrame) -> DataFrame:
@@ -228,8 +241,12 @@ def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     first), hash of the text, number. Rows of one doc_id and text count as one document. Lines without words are never listed.
     Lines of one id count as equal where a second hash agrees; else none of them is listed.
     """
-    own = lines_of(docs).select("doc_id", "th", "n", F.shiftrightunsigned(F.xxhash64("line"), 64 - _ID_BITS).alias("id"), F.hash("line").alias("other"), "line")
-    own, own_path = stage(own, "lines")
+    return _repeats(*_staged(docs), threshold)
+
+
+def _repeats(own: DataFrame, own_path: str, threshold: float) -> DataFrame:
+    """repeats() of lines as from _staged(), which go."""
+    own = own.where("id is not null")
     signed, signed_path = stage(signatures(own.select("id", "line")), "line-signatures")
     signed = with_nodes(signed)
     found, found_path = links(band_keys(signed), own.select("id", "line"), threshold)
@@ -247,15 +264,16 @@ def repeats(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     return places.join(first, "component_id").select("doc_id", "th", "n", "line_id", "component_id", (place == F.col("first")).alias("kept"))
 
 
-def _dropped(docs: DataFrame, threshold: float) -> DataFrame:
-    gone = repeats(docs, threshold).where("not kept").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("n")).alias("gone"))
+def _dropped(own: DataFrame, own_path: str, threshold: float) -> DataFrame:
+    gone = _repeats(own, own_path, threshold).where("not kept").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("n")).alias("gone"))
     return stage(gone, "line-gone")[0]
 
 
 def line_counts(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """doc_id, n_lines, n_dropped, dropped (numbers of the lines that go, from 0, comma-joined) for each row. No text is shuffled."""
-    gone = _dropped(docs, threshold)
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    """doc_id, n_lines, n_dropped, dropped (numbers of the lines that go, from 0, comma-joined) for each row. docs are read once."""
+    own, own_path = _staged(docs)
+    rows, _ = stage(own.where("n = 0").select("doc_id", "th", "n_lines"), "line-texts")
+    gone = _dropped(own, own_path, threshold)
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.th") == F.col("r.th"))
     out = rows.alias("l").join(gone.alias("r"), same, "left")
     return out.select("l.doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("dropped"))
@@ -266,7 +284,7 @@ def dedup(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
 
     Lines without words stay. Columns of any names pass through; an empty table gives no rows.
     """
-    gone = _dropped(docs, threshold)
+    gone = _dropped(*_staged(docs), threshold)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("i"), F.xxhash64(text).alias("th"))
     same = F.col("l.i").eqNullSafe(F.col("r.doc_id")) & (F.col("l.th") == F.col("r.th"))

@@ -494,6 +494,32 @@ def test_op7_two_centres_meet_by_labels(spark, monkeypatch):
     assert totals[1] <= 6 * max(totals[0], 1000), totals
 
 
+def test_op7_reads_and_shuffles_once(spark, tmp_path, monkeypatch):
+    """Documents are read once, no text is split twice, each band and each term of a difference is shuffled and written once at most."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    base = [rng.choice(words) for _ in range(40)]
+    texts = [(0, None), (1, "\n\n"), (2, " \n" + " ".join(base)), (2, " \n" + " ".join(base)), (None, "\t")]
+    for k in range(3, 120):
+        own = list(base)
+        for _ in range(rng.randint(1, 5)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append((k, "\n" * (k % 3) + " ".join(own)))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    docs, plans, stage = spark.read.parquet(f"{tmp_path}/documents"), {}, line_dedup.stage
+
+    def seen(df, name, *replaces, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name, *replaces, **options)
+
+    monkeypatch.setattr(line_dedup, "stage", seen)
+    out = line_dedup.line_counts(docs)
+    assert sorted((r["doc_id"] or -1, r["n_lines"]) for r in out.collect()) == sorted((i or -1, (t or "").count("\n") + 1) for i, t in texts)
+    assert not set(out.inputFiles()) & set(docs.inputFiles())
+    assert "size(split" not in plans["lines"] and plans["line-bands"].count("Exchange hashpartitioning") == 1
+    assert "line-terms" not in plans and "size(concat" not in plans["line-differences"]
+
+
 def digest_of(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
