@@ -63,27 +63,26 @@ def _routes(spark, d):  # noqa: ANN001, ANN202
     return spark.sql(_ROUTED, routes=inputs.by_track(spark.sql(ROUTES, orders=inputs.table(spark, d, "orders")), spark, d), families=found)
 
 
-def _selected(spark, board_):  # noqa: ANN001, ANN202
-    engine = primary.Primary()
-    return spark.sql(engine.held("{s}", EXACT_RATE, EXACT_LOCAL), s=spark.sql(engine.selected("{b}"), b=board_))
+def _selected(board_, routes, tasks):  # noqa: ANN001, ANN202
+    return primary.select(board_, routes, EXACT_RATE, EXACT_LOCAL, tasks)
 
 
 def _candidates(spark, d):  # noqa: ANN001, ANN202
-    """The board, written once in buckets by track: winners, full board and policy all read it, and none shuffles it."""
+    """The board, routes, written once in buckets by track, and how many."""
     n = inputs.tasks(spark, d)
     routes = staged(_routes(spark, d), "routes", "track", n)
-    return staged(primary.candidates(_raw(spark, d), routes), "board", "track", n), routes
+    return primary.candidates(_raw(spark, d), routes), routes, n
 
 
 def primary_select(spark, d):  # noqa: ANN001, ANN201
-    return _selected(spark, _candidates(spark, d)[0]).select("track", "lane", "selector", "rate", "bits", "held", "reason")
+    return _selected(*_candidates(spark, d)).select("track", "lane", "selector", "rate", "bits", "held", "reason")
 
 
 def _chain(spark, d):  # noqa: ANN001, ANN202
     """(decisions, measured candidates, context) of all tracks."""
-    board_, routes = _candidates(spark, d)
-    n = inputs.tasks(spark, d)
-    selected = staged(_selected(spark, board_), "selected", "track", n)
+    board_, routes, n = _candidates(spark, d)
+    board_ = staged(board_, "board", "track", n)
+    selected = staged(_selected(board_, routes, n), "selected", "track", n)
     full = spark.sql(FULL, board=board_)
     # only a hold for exactness asks for harmonic partners
     asked = full.join(selected.where("hold_exact").select("track"), "track", "left_semi").withColumn("local", F.col("best_score"))
