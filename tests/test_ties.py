@@ -35,6 +35,13 @@ def test_run_mode_is_rounded_once(spark, tmp_path):
     assert differences(spark, tmp_path, "run_mode", events=events(0.0, 0.0000009999998)) == ([], [])
 
 
+def test_run_mode_of_equal_values_keeps_runs_whole(spark, tmp_path):
+    """Each value stands 60 times; a run holds all of them, in whatever order they come."""
+    values = [0.5, 1.25, 7.0, 7.75, 8.5, 9.25, 20.0]
+    assert differences(spark, tmp_path, "run_mode", events=events(*values * 60)) == ([], [])
+    assert registry.QUERIES["run_mode"](spark, str(tmp_path)).collect() == [(1, 8.125, 240)]
+
+
 @pytest.mark.parametrize("low, high", [(12.27, 12.28), (18.5, 18.55), (37.26, 37.29)])
 def test_spread_confidence_at_a_tie_of_the_median(spark, tmp_path, low, high):
     assert differences(spark, tmp_path, "spread_confidence", events=events(low, high, low - 30, high + 30)) == ([], [])
